@@ -4,18 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = (
-    "token_store",
-    "mixing",
-    "line_dedup",
-    "warc",
-    "suffix_dedup",
-    "toxicity",
-    "embedding_dedup",
-    "simhash",
-    "maxscore",
-    "bpe",
-)
+MODULES = ("bpe",)
 
 
 def _modules() -> list:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe",)
+MODULES = ("token_store", "mixing", "line_dedup", "simhash", "bpe")
 
 
 def _modules() -> list:

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_store", "mixing", "line_dedup", "simhash", "bpe")
+MODULES = (
+    "token_store",
+    "mixing",
+    "line_dedup",
+    "warc",
+    "suffix_dedup",
+    "toxicity",
+    "embedding_dedup",
+    "simhash",
+    "maxscore",
+    "bpe",
+)
 
 
 def _modules() -> list:

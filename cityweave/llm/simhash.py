@@ -76,50 +76,54 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def close_pairs(group: np.ndarray, codes: np.ndarray, radius: int):
-    """Pairs (i, j) of places of one group whose codes differ in at most radius bits, in chunks.
+def popcount(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
-    group and codes must be sorted by group, then Gray rank."""
+
+def gray_order(group: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Order by group, then Gray rank, the first word of a code (n x words) counting most."""
+    return np.lexsort((*(gray_rank(codes[:, w]) for w in range(codes.shape[1] - 1, -1, -1)), group))
+
+
+def close_pairs(group: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 << 19):
+    """Pairs (i, j) of places of one group whose codes (n x words) differ in at most radius bits, in chunks.
+
+    group and codes must be in gray_order(). A chunk looks at no more than about `most` places at once."""
     n = len(codes)
     new = np.r_[True, group[1:] != group[:-1]]
-    levels = []  # from the leaves up: (first child of each node, mask left, pattern)
+    levels = []  # from the leaves up: first child of each node, how many children there are, mask, pattern
     low, high, start = codes, codes, new
-    first = np.arange(n)
     while True:
         at = np.arange(len(start))
         begin = np.maximum.accumulate(np.where(start, at, 0))
-        head = (at - begin) % FANOUT == 0
-        first = np.flatnonzero(head)
-        low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
+        first = np.flatnonzero((at - begin) % FANOUT == 0)
+        low, high = np.bitwise_and.reduceat(low, first, axis=0), np.bitwise_or.reduceat(high, first, axis=0)
         start = start[first]
         levels.append((first, len(at), ~(low ^ high), low))
         if start.all():
             break
     # what a parent holds already is taken out of its children
-    plain = [m for *_, m, _ in levels]
-    held = []
-    for k, (first, _, mask, pattern) in enumerate(levels):
-        if k + 1 < len(levels):
-            up = np.repeat(np.arange(len(levels[k + 1][0])), np.diff(np.r_[levels[k + 1][0], len(first)]))
-            mask = mask & ~plain[k + 1][up]
-        held.append((mask, pattern))
-    up = np.repeat(np.arange(len(levels[0][0])), np.diff(np.r_[levels[0][0], n]))
-    leaf_mask = ~plain[0][up]
+    below = [np.repeat(np.arange(len(first)), np.diff(np.r_[first, count])) for first, count, *_ in levels]
+    held = [mask & ~levels[k + 1][2][below[k + 1]] if k + 1 < len(levels) else mask for k, (*_, mask, _) in enumerate(levels)]
+    leaf_mask = ~levels[0][2][below[0]]
     root_of = np.cumsum(new) - 1
-    for lo in range(0, n, 4096):
-        q = np.arange(lo, min(n, lo + 4096))
+    size = np.bincount(root_of)[root_of]
+    part = np.cumsum(size) // most
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, n]
+    for lo, hi in zip(cuts, cuts[1:]):
+        q = np.arange(lo, hi)[size[lo:hi] > 1]
         node, far = root_of[q], np.zeros(len(q), dtype=np.int64)
         for k in range(len(levels) - 1, -1, -1):
-            mask, pattern = held[k]
-            far = far + np.bitwise_count((codes[q] ^ pattern[node]) & mask[node])
+            first, count, _, pattern = levels[k]
+            far = far + popcount((codes[q] ^ pattern[node]) & held[k][node])
             keep = far <= radius
             q, node, far = q[keep], node[keep], far[keep]
-            first, below, *_ = levels[k]
-            count = np.diff(np.r_[first, below])[node]
-            child = np.repeat(first[node] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            q, far, node = np.repeat(q, count), np.repeat(far, count), child
-        far = far + np.bitwise_count((codes[q] ^ codes[node]) & leaf_mask[node])
-        keep = (far <= radius) & (q < node)
+            many = np.diff(np.r_[first, count])[node]
+            child = np.repeat(first[node] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            q, far, node = np.repeat(q, many), np.repeat(far, many), child
+        keep = q < node
+        q, node, far = q[keep], node[keep], far[keep]
+        keep = far + popcount((codes[q] ^ codes[node]) & leaf_mask[node]) <= radius
         yield q[keep], node[keep]
 
 
@@ -187,33 +191,35 @@ def deal(fps: DataFrame, radius: int, large: int = LARGE_GROUP) -> DataFrame:
     )
 
 
+def whole_groups(frames, column: str = "group", rows: int = CHUNK):
+    """Frames sorted by a column, put together so that no group is cut and each has about so many rows."""
+    rest = None
+    for frame in frames:
+        rest = frame if rest is None else pd.concat([rest, frame])
+        if len(rest) >= rows:
+            last = rest[column].to_numpy() == rest[column].iloc[-1]
+            if not last.all():
+                yield rest[~last]
+                rest = rest[last]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def links(fps: DataFrame, radius: int, large: int = LARGE_GROUP) -> DataFrame:
     """(a, b) of distinct fingerprints (column fp): a spanning forest of all links at most radius bits apart."""
     spark = fps.sparkSession
     dealt = staged(deal(fps, radius, large), "simhash-groups")
     n = partitions_for(spark, dealt.count(), 200_000)
 
-    def search(frames):
-        rest = None
-        for frame in frames:
-            rest = frame if rest is None else pd.concat([rest, frame])
-            if len(rest) >= CHUNK:
-                last = rest["group"].to_numpy() == rest["group"].iloc[-1]
-                if not last.all():
-                    yield found(rest[~last])
-                    rest = rest[last]
-        if rest is not None and len(rest):
-            yield found(rest)
-
     def found(frame: pd.DataFrame) -> pd.DataFrame:
         group, code = frame["group"].to_numpy(), frame["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.lexsort((gray_rank(code), group))
+        order = gray_order(group, code[:, None])
         group, code = group[order], code[order]
-        place, root = forest(len(code), close_pairs(group, code, radius))
+        place, root = forest(len(code), close_pairs(group, code[:, None], radius))
         return pd.DataFrame({"a": code[root].view(np.int64), "b": code[place].view(np.int64)})
 
     dealt = dealt.repartition(n, "group").sortWithinPartitions("group")
-    return dealt.mapInPandas(search, "a long, b long").where("a <> b").distinct()
+    return dealt.mapInPandas(lambda frames: map(found, whole_groups(frames)), "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(
@@ -231,6 +237,71 @@ def near_duplicates(
     return made.join(classes, "fp").select(key, "fp", "component_id")
 
 
+def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    """Majority bits, 64 for each word, over the distinct word shingles; ASCII letters in lower case."""
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(own[i : i + shingle]) for i in range(max(1, len(own) - shingle + 1))}
+    base = np.array([xxhash.xxh3_64_intdigest(g) for g in grams], dtype=np.uint64)
+    ones = np.zeros((words, BITS), dtype=np.int64)
+    for lo in range(0, len(base), 1 << 14):
+        h = base[lo : lo + (1 << 14)]
+        for w in range(words):
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(base)).tobytes()
+
+
+def similar_groups(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, key: str = "doc_id", text: str = "text", large: int = LARGE_GROUP
+) -> DataFrame:
+    """key and component_id of documents whose word shingles are alike, by fingerprints of 64 * words bits.
+
+    Sets of one size with Jaccard similarity s have cosine 2s / (1 + s), and of their fingerprints' bits a share of
+    acos(cosine) / pi differs: that is the radius, over 512 bits sharp to about 0.03 in s. Fingerprints meet where one
+    of their blocks of 16 bits is equal (at s = 0.85 with probability 0.97), and the index of the group drops nodes by
+    accumulated differences. Groups over `large` are cut into parts, each with the group's first fingerprint, so that
+    near copies by the thousand meet through it."""
+    spark = docs.sparkSession
+    bits = BITS * words
+    cosine = 2 * similarity / (1 + similarity)
+    radius = int(bits * np.arccos(cosine) / np.pi)
+    plain = columns_of(docs, key, text).select(F.col(key), F.col(text).alias("_text"))
+
+    def make(batches):
+        for batch in batches:
+            fp = pa.array([wide_fingerprint(t.as_py(), shingle, words) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp], [key, "fp"])
+
+    made = staged(plain.mapInArrow(make, f"`{key}` {plain.schema[0].dataType.simpleString()}, fp binary"), "wide-fp")
+    own = made.groupBy("fp").agg(F.min(key).alias("least"))
+    own = staged(own.select("fp", F.coalesce("least", F.xxhash64("fp")).alias("node")), "wide-distinct")
+    cut = F.explode(F.array(*(F.concat(F.lit(bytes([i])), F.substring("fp", 2 * i + 1, 2)) for i in range(bits // 16))))
+    dealt = staged(own.select(cut.alias("block"), "node", "fp"), "wide-blocks")
+    heavy = dealt.groupBy("block").agg(F.count("*").alias("m"), F.min(F.struct("node", "fp")).alias("first")).where(F.col("m") > large)
+    heavy = staged(heavy.select("block", F.ceil(F.col("m") / large).cast("int").alias("parts"), "first"), "wide-heavy")
+    share = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0))
+    all_parts = dealt.join(heavy.drop("first"), "block", "left").select(F.xxhash64("block", share).alias("group"), "node", "fp")
+    firsts = heavy.select("block", "first.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
+    all_parts = all_parts.unionAll(firsts.select(F.xxhash64("block", "part").alias("group"), "node", "fp"))
+    n = partitions_for(spark, own.count() * (bits // 16), 200_000)
+
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        group, node = frame["group"].to_numpy(), frame["node"].to_numpy()
+        code = np.frombuffer(b"".join(frame["fp"]), dtype=np.uint64).reshape(-1, words)
+        order = gray_order(group, code)
+        place, root = forest(len(code), close_pairs(group[order], code[order], radius))
+        return pd.DataFrame({"a": node[order][root], "b": node[order][place]})
+
+    dealt = all_parts.repartition(n, "group").sortWithinPartitions("group")
+    edges = dealt.mapInPandas(lambda frames: map(found, whole_groups(frames)), "a long, b long").where("a <> b").distinct()
+    classes = own.join(components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    least = made.join(classes, "fp").select(key, "component")
+    firsts = least.groupBy("component").agg(F.min(key).alias("component_id"))
+    return least.join(firsts, "component").select(key, "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(

@@ -54,9 +54,10 @@ def test_close_pairs_are_all_pairs(n):
     rng = random.Random(n)
     codes = np.array(clustered(rng, n), dtype=np.uint64)
     group = np.array([rng.randrange(1 + n // 60) for _ in codes])
-    order = np.lexsort((simhash.gray_rank(codes), group))
+    order = simhash.gray_order(group, codes[:, None])
     codes, group = codes[order], group[order]
-    got = {(i, j) for a, b in simhash.close_pairs(group, codes, 3) for i, j in zip(a.tolist(), b.tolist())}
+    pairs = simhash.close_pairs(group, codes[:, None], 3, most=500)
+    got = {(i, j) for a, b in pairs for i, j in zip(a.tolist(), b.tolist())}
     want = {
         (i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j] and int(codes[i] ^ codes[j]).bit_count() <= 3
     }
@@ -101,3 +102,22 @@ def test_empty_and_repeated_rows(spark):
     assert simhash.near_duplicates(empty).collect() == []
     twice = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (None, "q")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(twice).collect()) == [(-1, None), (7, 7), (7, 7)]
+
+
+@pytest.mark.parametrize("large", [4, 2000])
+def test_similar_groups(spark, large):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, kind = [], []
+    for k in range(30):
+        base = [word() for _ in range(120)]
+        for v in range(4):
+            words = base.copy()
+            if v:
+                words[rng.randrange(120)] = "edit"
+            rows.append((len(rows), " ".join(words)))
+            kind.append(4 * k)
+    rows += [(len(rows) + i, t) for i, t in enumerate([None, "", "a b", "a c"])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), large=large).collect()}
+    assert [got[i] for i in range(120)] == kind
+    assert [got[i] for i in range(120, 124)] == [120, 120, 122, 123]

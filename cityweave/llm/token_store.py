@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityweave.llm.bpe import byte_symbols
 from cityweave.llm.common import columns_of, dropped, new_path, partitions_for, release, staged
 
 BLOCK_TOKENS, CHECKPOINT_TOKENS, MAX_LANES = 1 << 18, 1 << 17, 1 << 10
@@ -37,7 +38,7 @@ MAGIC = b"RANSBLK1"
 HEAD = struct.Struct("<8sIIIII")  # magic, tokens, lanes, checkpoints, words, bytes of the document index
 CHECK = struct.Struct("<III")  # step, word offset, CRC-32 of the ids up to the next checkpoint
 #: Words that a worker keeps with their ids; beyond that it starts anew. It only saves work.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 class Table:
@@ -162,10 +163,12 @@ def crc32_join(a: int, b: int, size: int) -> int:
 
 
 class WordEncoder:
-    """Whole texts to ids by the tokenizers library, which is asked once for each white-space-free word it meets.
+    """Whole texts to ids by the tokenizers library, which is asked once for each word it meets.
 
-    White space never enters a token of this tokenizer and its normalizer never acts across it, so a text's ids are its
-    words' ids in order."""
+    White space never enters a token of this tokenizer and its normalizer never acts across it, so a text's ids are the
+    ids of the parts between ASCII white space, in order. ASCII letters are put in lower case first, as the tokenizer
+    does, unless a combining mark (which may join a letter of one case only) or the opening of a special token is in the
+    text. A word of letters followed by punctuation is two pieces for the tokenizer as well, so both are kept apart."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -173,33 +176,51 @@ class WordEncoder:
         self.library, self.known = Tokenizer.from_file(path), {}
         self.library.no_truncation()
         self.library.no_padding()
-        self.odd = re.compile("[\x1c-\x1f]").search  # Python splits there, the tokenizer does not
-        self.split = re.compile(r"[^ \t\n\r]+").findall
+        self.mark = re.compile("[\u0300-\u036f]").search
+        self.plain = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?)\]]*)").fullmatch
+        self.model, self.symbols = self.library.model, {b: s for b, s in enumerate(byte_symbols())}
 
-    def words(self, text: str | None) -> list[str]:
+    def words(self, text: str | None) -> list[bytes]:
         if not text:
             return []
-        return self.split(text) if self.odd(text) else text.split()
-
-    def learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 2000):
-            some = words[lo : lo + 2000]
+        if "<|" in text or not text.isascii() and self.mark(text):
+            return text.encode().split()
+        return text.encode().lower().split()
+
+    def learn(self, words: set[bytes]) -> None:
+        known, tokenize, split, other = self.known, self.model.tokenize, {}, set()
+        for w in words:
+            if m := self.plain(w):
+                split[w] = m.groups()
+            else:
+                other.add(w)
+        self.ask(list(other | {b for _, b in split.values() if b} - known.keys()))
+        for w, (a, b) in split.items():
+            if a not in known:
+                text = a.decode() if a.isascii() else a.decode("latin-1").translate(self.symbols)
+                known[a] = np.array([t.id for t in tokenize(text)], dtype="<u4").tobytes()
+            if b:
+                known[w] = known[a] + known[b]
+
+    def ask(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 100):
+            some = [w.decode() for w in words[lo : lo + 100]]
             made = self.library.encode("\n".join(some), add_special_tokens=False)
             ids = np.array(made.ids, dtype="<u4")
             begins = np.array([o[0] for o in made.offsets], dtype=np.int64)
             starts = np.cumsum([0, *(len(w) + 1 for w in some)])
             cut = np.searchsorted(begins, starts).tolist()
             raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, cut, cut[1:]))
+            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words[lo : lo + 100], cut, cut[1:]))
 
     def encoded(self, texts: list[str | None]):
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for lo in range(0, len(texts), 256):
             cut = [self.words(t) for t in texts[lo : lo + 256]]
-            new = {w for words in cut for w in words if w not in self.known}
+            new = set().union(*cut) - self.known.keys()
             if len(self.known) + len(new) > CACHE_WORDS and self.known:
-                self.known, new = {}, {w for words in cut for w in words}
-            self.learn(list(new))
+                self.known, new = {}, set().union(*cut)
+            self.learn(new)
             get = self.known.__getitem__
             for words in cut:
                 yield b"".join(map(get, words))

@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this folder that hold QUERIES and ORACLES.
-MODULES = ()
+MODULES = ("speeds", "panel")
 
 
 @cache

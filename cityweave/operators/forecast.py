@@ -46,10 +46,8 @@ def rollout(objects: DataFrame, matrix: DataFrame, labels: list[str], steps: int
         if levers is not None:
             mine = levers.where(F.col("step") == step).select("object_id", "target_state", "delta")
             now = now.join(mine, "object_id", "left")
-            odds = lambda v: F.log(v / (1 - v))
-            moved = F.transform(
-                p, lambda v, i: F.when(F.element_at(order, i + 1) == F.col("target_state"), 1 / (1 + F.exp(-(odds(F.least(F.greatest(v, F.lit(1e-12)), F.lit(1 - 1e-12))) + F.col("delta"))))).otherwise(v)
-            )
+            push = F.when(F.col("target_state").isNotNull(), F.exp("delta")).otherwise(1.0)
+            moved = F.transform(p, lambda v, i: F.greatest(v, F.lit(1e-12)) * F.when(F.element_at(order, i + 1) == F.col("target_state"), push).otherwise(1.0))
             now = now.withColumn("_q", F.coalesce(moved, p))
             kept = F.aggregate("_q", F.lit(0.0), lambda a, v: a + v)
             now = now.withColumn("p", F.transform("_q", lambda v: v / kept)).drop("_q", "target_state", "delta")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityweave.functions.columns import inside_ring
+from cityweave.operators.iterate import kept
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -35,9 +36,9 @@ def nearest(left: DataFrame, right: DataFrame, start: float, rings: int = 12) ->
     radius = start
     for _ in range(rings):
         hit = within(rest, right, radius).groupBy("id").agg(F.min(F.struct("dist", "other")).alias("m")).select("id", "m.other", "m.dist")
-        hit = hit.persist()
+        hit = kept(hit)
         found = hit if found is None else found.unionAll(hit)
-        rest = rest.join(hit, "id", "left_anti").persist()
+        rest = kept(rest.join(hit, "id", "left_anti"))
         if rest.isEmpty():
             break
         radius *= 2

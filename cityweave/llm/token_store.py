@@ -162,6 +162,17 @@ def crc32_join(a: int, b: int, size: int) -> int:
     return a ^ b
 
 
+class Known(dict):
+    """A dict that learns what it is asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.learn(word)
+        return ids
+
+
 class WordEncoder:
     """Whole texts to ids by the tokenizers library, which is asked once for each word it meets.
 
@@ -173,7 +184,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known = Tokenizer.from_file(path), Known(self.learn)
         self.library.no_truncation()
         self.library.no_padding()
         self.mark = re.compile("[\u0300-\u036f]").search
@@ -187,43 +198,25 @@ class WordEncoder:
             return text.encode().split()
         return text.encode().lower().split()
 
-    def learn(self, words: set[bytes]) -> None:
-        known, tokenize, split, other = self.known, self.model.tokenize, {}, set()
-        for w in words:
-            if m := self.plain(w):
-                split[w] = m.groups()
-            else:
-                other.add(w)
-        self.ask(list(other | {b for _, b in split.values() if b} - known.keys()))
-        for w, (a, b) in split.items():
-            if a not in known:
-                text = a.decode() if a.isascii() else a.decode("latin-1").translate(self.symbols)
-                known[a] = np.array([t.id for t in tokenize(text)], dtype="<u4").tobytes()
-            if b:
-                known[w] = known[a] + known[b]
-
-    def ask(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 100):
-            some = [w.decode() for w in words[lo : lo + 100]]
-            made = self.library.encode("\n".join(some), add_special_tokens=False)
-            ids = np.array(made.ids, dtype="<u4")
-            begins = np.array([o[0] for o in made.offsets], dtype=np.int64)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
-            cut = np.searchsorted(begins, starts).tolist()
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words[lo : lo + 100], cut, cut[1:]))
+    def learn(self, word: bytes) -> bytes:
+        """The ids of one word, as bytes."""
+        if m := self.plain(word):
+            letters, tail = m.groups()
+            if tail:
+                return self.known[letters] + self.known[tail]
+            text = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(self.symbols)
+            ids = [t.id for t in self.model.tokenize(text)]
+        else:
+            ids = self.library.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encoded(self, texts: list[str | None]):
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for lo in range(0, len(texts), 256):
-            cut = [self.words(t) for t in texts[lo : lo + 256]]
-            new = set().union(*cut) - self.known.keys()
-            if len(self.known) + len(new) > CACHE_WORDS and self.known:
-                self.known, new = {}, set().union(*cut)
-            self.learn(new)
-            get = self.known.__getitem__
-            for words in cut:
-                yield b"".join(map(get, words))
+        get = self.known.__getitem__
+        for text in texts:
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+            yield b"".join(map(get, self.words(text)))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,6 @@ component's smallest id (a component of null ids only has component null); an em
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +30,8 @@ LARGE_GROUP = 2_000
 #: Fingerprints that a task takes at least before it searches their groups together.
 CHUNK = 50_000
 BITS = 64
+#: Bits that similar_groups() adds to its radius.
+SLACK = 4
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -237,8 +238,8 @@ def near_duplicates(
     return made.join(classes, "fp").select(key, "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
-    """Majority bits, 64 for each word, over the distinct word shingles; ASCII letters in lower case."""
+def wide_fingerprint(text: str | None, shingle: int, words: int) -> tuple[bytes, int]:
+    """Majority bits, 64 for each word, over the distinct word shingles, and their number; ASCII letters in lower case."""
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     grams = {b" ".join(own[i : i + shingle]) for i in range(max(1, len(own) - shingle + 1))}
     base = np.array([xxhash.xxh3_64_intdigest(g) for g in grams], dtype=np.uint64)
@@ -250,7 +251,7 @@ def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(31)
             ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(base)).tobytes()
+    return np.packbits(2 * ones > len(base)).tobytes(), len(base)
 
 
 def similar_groups(
@@ -259,45 +260,48 @@ def similar_groups(
     """key and component_id of documents whose word shingles are alike, by fingerprints of 64 * words bits.
 
     Sets of one size with Jaccard similarity s have cosine 2s / (1 + s), and of their fingerprints' bits a share of
-    acos(cosine) / pi differs: that is the radius, over 512 bits sharp to about 0.03 in s. Fingerprints meet where one
+    acos(cosine) / pi differs: that and SLACK bits is the radius, over 512 bits sharp to about 0.03 in s. The numbers of
+    shingles must allow the similarity too: the smaller is at least s times the larger. Fingerprints meet where one
     of their blocks of 16 bits is equal (at s = 0.85 with probability 0.97), and the index of the group drops nodes by
     accumulated differences. Groups over `large` are cut into parts, each with the group's first fingerprint, so that
     near copies by the thousand meet through it."""
     spark = docs.sparkSession
     bits = BITS * words
     cosine = 2 * similarity / (1 + similarity)
-    radius = int(bits * np.arccos(cosine) / np.pi)
+    radius = int(bits * np.arccos(cosine) / np.pi) + SLACK
     plain = columns_of(docs, key, text).select(F.col(key), F.col(text).alias("_text"))
 
     def make(batches):
         for batch in batches:
-            fp = pa.array([wide_fingerprint(t.as_py(), shingle, words) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], [key, "fp"])
+            fp, n = zip(*(wide_fingerprint(t.as_py(), shingle, words) for t in batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(n, pa.int32())], [key, "fp", "n"])
 
-    made = staged(plain.mapInArrow(make, f"`{key}` {plain.schema[0].dataType.simpleString()}, fp binary"), "wide-fp")
-    own = made.groupBy("fp").agg(F.min(key).alias("least"))
-    own = staged(own.select("fp", F.coalesce("least", F.xxhash64("fp")).alias("node")), "wide-distinct")
+    made = staged(plain.mapInArrow(make, f"`{key}` {plain.schema[0].dataType.simpleString()}, fp binary, n int"), "wide-fp")
+    own = made.groupBy("fp", "n").agg(F.min(key).alias("least"))
+    own = staged(own.select("fp", "n", F.coalesce("least", F.xxhash64("fp", "n")).alias("node")), "wide-distinct")
     cut = F.explode(F.array(*(F.concat(F.lit(bytes([i])), F.substring("fp", 2 * i + 1, 2)) for i in range(bits // 16))))
-    dealt = staged(own.select(cut.alias("block"), "node", "fp"), "wide-blocks")
-    heavy = dealt.groupBy("block").agg(F.count("*").alias("m"), F.min(F.struct("node", "fp")).alias("first")).where(F.col("m") > large)
+    dealt = staged(own.select(cut.alias("block"), "node", "fp", "n"), "wide-blocks")
+    heavy = dealt.groupBy("block").agg(F.count("*").alias("m"), F.min(F.struct("node", "fp", "n")).alias("first")).where(F.col("m") > large)
     heavy = staged(heavy.select("block", F.ceil(F.col("m") / large).cast("int").alias("parts"), "first"), "wide-heavy")
     share = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0))
-    all_parts = dealt.join(heavy.drop("first"), "block", "left").select(F.xxhash64("block", share).alias("group"), "node", "fp")
+    all_parts = dealt.join(heavy.drop("first"), "block", "left").select(F.xxhash64("block", share).alias("group"), "node", "fp", "n")
     firsts = heavy.select("block", "first.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
-    all_parts = all_parts.unionAll(firsts.select(F.xxhash64("block", "part").alias("group"), "node", "fp"))
-    n = partitions_for(spark, own.count() * (bits // 16), 200_000)
+    all_parts = all_parts.unionAll(firsts.select(F.xxhash64("block", "part").alias("group"), "node", "fp", "n"))
+    parts = partitions_for(spark, own.count() * (bits // 16), 200_000)
 
     def found(frame: pd.DataFrame) -> pd.DataFrame:
-        group, node = frame["group"].to_numpy(), frame["node"].to_numpy()
         code = np.frombuffer(b"".join(frame["fp"]), dtype=np.uint64).reshape(-1, words)
-        order = gray_order(group, code)
-        place, root = forest(len(code), close_pairs(group[order], code[order], radius))
-        return pd.DataFrame({"a": node[order][root], "b": node[order][place]})
-
-    dealt = all_parts.repartition(n, "group").sortWithinPartitions("group")
+        order = gray_order(frame["group"].to_numpy(), code)
+        group, node, n = (frame[c].to_numpy()[order] for c in ("group", "node", "n"))
+        alike = lambda a, b: np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+        pairs = ((a[ok], b[ok]) for a, b in close_pairs(group, code[order], radius) for ok in (alike(a, b),))
+        place, root = forest(len(code), pairs)
+        return pd.DataFrame({"a": node[root], "b": node[place]})
+
+    dealt = all_parts.repartition(parts, "group").sortWithinPartitions("group")
     edges = dealt.mapInPandas(lambda frames: map(found, whole_groups(frames)), "a long, b long").where("a <> b").distinct()
-    classes = own.join(components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    least = made.join(classes, "fp").select(key, "component")
+    classes = own.join(components(edges), "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component"))
+    least = made.join(classes, ["fp", "n"]).select(key, "component")
     firsts = least.groupBy("component").agg(F.min(key).alias("component_id"))
     return least.join(firsts, "component").select(key, "component_id")
 

@@ -120,8 +120,8 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
 
 
 def compared(kinds: DataFrame, window: int, parts: int) -> DataFrame:
-    """(d1, d2, at) of the starts (counted from the run's) at which kinds (anchor, d1, d2, bytes) repeat another of
-    their anchor. All kinds of an anchor meet in one task."""
+    """(d1, d2, lo, hi): ranges lo .. hi - 1 of starts (counted from the run's) at which kinds (anchor, d1, d2, bytes)
+    repeat another of their anchor. All kinds of an anchor meet in one task."""
 
     def run(frames):
         rest = None
@@ -145,11 +145,14 @@ def compared(kinds: DataFrame, window: int, parts: int) -> DataFrame:
                     if other[0] != i:
                         hits |= {other, (i, at)}
             d1, d2 = group["d1"].to_numpy(), group["d2"].to_numpy()
-            out += [(d1[i], d2[i], at) for i, at in hits]
-        return pd.DataFrame(out, columns=["d1", "d2", "at"])
+            own = sorted(hits)
+            firsts = [h for h, g in zip(own, [(-1, -1), *own]) if h != (g[0], g[1] + 1)]
+            lasts = [h for h, g in zip(own, [*own[1:], (-1, -1)]) if g != (h[0], h[1] + 1)]
+            out += [(d1[i], d2[i], lo, hi + 1) for (i, lo), (_, hi) in zip(firsts, lasts)]
+        return pd.DataFrame(out, columns=["d1", "d2", "lo", "hi"])
 
     dealt = kinds.select("anchor", "d1", "d2", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInPandas(run, "d1 long, d2 long, at int")
+    return dealt.mapInPandas(run, "d1 long, d2 long, lo int, hi int")
 
 
 def spread_out(kinds: DataFrame, window: int, step: int = STEP) -> DataFrame:
@@ -207,9 +210,9 @@ def spread_out(kinds: DataFrame, window: int, step: int = STEP) -> DataFrame:
     )
     same = windows.groupBy("w1", "w2").agg(unlike("u1", "u2").alias("met")).where("met").select("w1", "w2")
     partly = windows.join(same, ["w1", "w2"], "left_semi").select("u1", "u2", "at")
-    every = F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))
-    whole = left.join(unions.where("twice").select("u1", "u2"), ["u1", "u2"], "left_semi").select("d1", "d2", every.alias("at"))
-    some = left.join(partly, ["u1", "u2"]).select("d1", "d2", (F.col("lo") + F.col("at")).alias("at"))
+    whole = left.join(unions.where("twice").select("u1", "u2"), ["u1", "u2"], "left_semi").select("d1", "d2", "lo", "hi")
+    first = F.col("lo") + F.col("at")
+    some = left.join(partly, ["u1", "u2"]).select("d1", "d2", first.alias("lo"), (first + 1).alias("hi"))
     return whole.unionAll(some)
 
 
@@ -234,15 +237,13 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, large: int = LARGE) -
     parts = partitions_for(spark, cut.count(), 20_000)
     found = compared(cut.where(F.col("m") <= large), window, parts).unionAll(spread_out(cut.where(F.col("m") > large), window))
     # kinds that occur more than once are repeated as a whole, whatever was found for them besides
-    starts = found.groupBy("d1", "d2").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    starts = found.groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
     twice = kinds.where("n > 1").select("d1", "d2")
     once = starts.join(twice, ["d1", "d2"], "left_anti")
-    state = staged(twice.withColumn("at", F.lit(None).cast("array<int>")).unionAll(once), "repeated")
-    # starts of a run that follow each other make one interval
-    heads = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
-    tails = F.filter("at", lambda x: ~F.array_contains("at", x + 1))
-    span = lambda a, b: F.struct((F.col("lo") + a).alias("a"), (F.col("lo") + b + window).alias("b"))
-    spans = F.when(F.col("at").isNull(), F.array(span(F.lit(0), F.col("hi") - F.col("lo")))).otherwise(F.zip_with(heads, tails, span))
+    state = staged(twice.withColumn("at", F.lit(None).cast(starts.schema["at"].dataType)).unionAll(once), "repeated")
+    span = lambda lo, hi: F.struct((F.col("lo") + lo).alias("a"), (F.col("lo") + hi + (window - 1)).alias("b"))
+    whole = F.array(span(F.lit(0), F.col("hi") - F.col("lo") + 1))
+    spans = F.when(F.col("at").isNull(), whole).otherwise(F.transform("at", lambda x: span(x["lo"], x["hi"])))
     hit = runs.join(state, ["d1", "d2"]).select("k1", "k2", F.explode(spans).alias("s"))
     return staged(hit.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "spans")
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ LOW = 1 << 31
 MAGIC = b"RANSBLK1"
 HEAD = struct.Struct("<8sIIIII")  # magic, tokens, lanes, checkpoints, words, bytes of the document index
 CHECK = struct.Struct("<III")  # step, word offset, CRC-32 of the ids up to the next checkpoint
-#: Words that a worker keeps with their ids; beyond that it starts anew. It only saves work.
-CACHE_WORDS = 1_000_000
+#: Words with their ids in each of two generations that a worker keeps. It only saves work.
+CACHE_WORDS = 350_000
 
 
 class Table:
@@ -163,15 +164,29 @@ def crc32_join(a: int, b: int, size: int) -> int:
 
 
 class Known(dict):
-    """A dict that learns what it is asked for."""
+    """A dict that learns what it is asked for. Of its two generations the older goes when the newer is full, but for
+    the words that were asked for again."""
 
     def __init__(self, learn):
-        self.learn = learn
+        self.learn, self.old = learn, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = self.learn(word)
+        if (ids := self.old.get(word)) is None:
+            ids = self.learn(word)
+        self[word] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+@cache
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
 
 class WordEncoder:
     """Whole texts to ids by the tokenizers library, which is asked once for each word it meets.
@@ -200,7 +215,9 @@ class WordEncoder:
 
     def learn(self, word: bytes) -> bytes:
         """The ids of one word, as bytes."""
-        if m := self.plain(word):
+        if word.isalpha() and word.islower():
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+        elif m := self.plain(word):
             letters, tail = m.groups()
             if tail:
                 return self.known[letters] + self.known[tail]
@@ -214,8 +231,7 @@ class WordEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         get = self.known.__getitem__
         for text in texts:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
+            self.known.age()
             yield b"".join(map(get, self.words(text)))
 
 
@@ -228,7 +244,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
     ranged = docs.repartitionByRange(n, F.asc_nulls_first(key), tie).sortWithinPartitions(F.asc_nulls_first(key), tie)
 
     def run(batches):
-        encoder, part, at = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -267,8 +283,8 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                made = np.bincount(widen(raw.as_py()))
+            for lo in range(0, batch.num_rows, 500):
+                made = np.bincount(np.concatenate([widen(x) for x in batch.column(0).slice(lo, 500).to_pylist()]))
                 if len(made) > len(total):
                     total = np.r_[total, np.zeros(len(made) - len(total), dtype=np.int64)]
                 total[: len(made)] += made

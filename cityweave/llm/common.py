@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: The temporary folder of an application that has no spark.checkpoint.dir.
 _OWN: dict[str, str] = {}
 
@@ -52,6 +51,14 @@ def partitions_for(spark: SparkSession, rows: int, per: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per), 1)
 
 
+def hash_sample(df: DataFrame, rows: int, total: int, *by: str) -> DataFrame:
+    """The `rows` rows of least hash. Of a large table only a share about half again as large is sorted, so that what
+    tasks hand over does not grow with their number."""
+    h = F.xxhash64(*by)
+    share = int((1 << 30) * min(1.0, (1.5 * rows + 50) / max(1, total)))
+    return df.where(F.pmod(h, F.lit(1 << 30)) < share).orderBy(F.pmod(h, F.lit(1 << 30)), *by).limit(rows)
+
+
 def columns_of(df: DataFrame, *needed: str) -> DataFrame:
     """Only the needed columns, by position, so that extra columns whose names clash in letter case do no harm."""
     names = df.columns

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityweave.llm.common import columns_of, components, partitions_for, staged
+from cityweave.llm.common import columns_of, components, hash_sample, partitions_for, staged
 from cityweave.llm.simhash import forest
 
 COSINE, RECALL = 0.95, 0.995
@@ -239,7 +239,7 @@ def near_duplicates(
         return alone
     width = own.agg(F.max(F.octet_length("v"))).first()[0] // 4
     width += width % 2
-    sample = own.orderBy(F.xxhash64("h1")).limit(FIT_ROWS).select("v").toPandas()["v"].tolist()
+    sample = hash_sample(own, FIT_ROWS, total, "h1", "h2").select("v").toPandas()["v"].tolist()
     words = 1 << max(0, min(MOST_WORDS, len(sample), int((total / CELL_ROWS) ** 0.5)).bit_length() - 1)
     index = Index(unit(sample, width), words)
     visits = visits_for(index, own, unit(sample[:TRIAL_ROWS], width), width, cosine, recall)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityweave.llm.common import columns_of, new_path, partitions_for, staged
+from cityweave.llm.common import columns_of, hash_sample, new_path, partitions_for, staged
 
 MIN_BYTES = 100
 SKIPPABLE = 0x184D2A5D
@@ -58,7 +58,8 @@ def classified(pages: DataFrame, key: str = "page_id", url: str = "url", payload
 
 def dictionary_of(rows: DataFrame) -> bytes:
     """A dictionary trained on a bounded sample of bodies; empty where there are too few."""
-    sample = rows.where("size > 0").orderBy(F.xxhash64("id", "digest")).limit(SAMPLES)
+    rows = rows.where("size > 0")
+    sample = hash_sample(rows, SAMPLES, rows.count(), "id", "digest")
     texts = [r[0].encode() for r in sample.select(F.substring("body", 1, SAMPLE_BYTES)).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()

@@ -30,8 +30,10 @@ LARGE_GROUP = 2_000
 #: Fingerprints that a task takes at least before it searches their groups together.
 CHUNK = 50_000
 BITS = 64
-#: Bits that similar_groups() adds to its radius.
-SLACK = 4
+#: Bands of least hashes that bring together the candidates of similar_groups(), and hashes of a band.
+BANDS, BAND_ROWS = 48, 7
+#: Shingles of a candidate group that are compared in one task; first sets whose distances to all others are kept.
+LARGE_SHINGLES, PIVOTS = 2_000_000, 4
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -238,70 +240,161 @@ def near_duplicates(
     return made.join(classes, "fp").select(key, "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int) -> tuple[bytes, int]:
-    """Majority bits, 64 for each word, over the distinct word shingles, and their number; ASCII letters in lower case."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = {b" ".join(own[i : i + shingle]) for i in range(max(1, len(own) - shingle + 1))}
-    base = np.array([xxhash.xxh3_64_intdigest(g) for g in grams], dtype=np.uint64)
-    ones = np.zeros((words, BITS), dtype=np.int64)
-    for lo in range(0, len(base), 1 << 14):
-        h = base[lo : lo + (1 << 14)]
-        for w in range(words):
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(base)).tobytes(), len(base)
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH3 hashes of the word shingles; ASCII letters in lower case."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    joined = b" ".join(words)
+    if n == 1:
+        return np.array([xxhash.xxh3_64_intdigest(joined)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    digest = xxhash.xxh3_64_intdigest
+    made = (digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist()))
+    return np.unique(np.fromiter(made, dtype=np.uint64, count=n))
+
+
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
+    """A key for each band of so many least hashes, as signed longs."""
+    rng = np.random.default_rng(29)
+    factor, add = rng.integers(0, 1 << 64, (2, bands * rows, 1), dtype=np.uint64)
+    factor |= np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for lo in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[None, lo : lo + 256] * factor + add).min(axis=1), out=least)
+    keys = [xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(least.reshape(bands, rows))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (i, j) that join the same sets as all pairs of Jaccard similarity >= similarity do, and the similarity of
+    each set to the first.
+
+    A pair is left out only where it cannot matter: its sets are joined already, their sizes forbid the similarity, or
+    their distances to one of the first sets differ by more than a link allows (Jaccard distance is a metric)."""
+    m, size = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    ids = [x[times[x] > 1] for x in ids]  # what one set alone holds is in no intersection
+    flat, held = np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64)
+    ends = np.cumsum(held)
+    mark = np.zeros(len(times), dtype=bool)
+    label, links, seen = np.arange(m), [], []
+    to_first = np.ones(m)
+    for i in range(m):
+        mark[ids[i]] = True
+        some = np.arange(m) if i < PIVOTS else np.flatnonzero(
+            (label != label[i]) & (np.arange(m) > i) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9)
+        )
+        for d in seen if i >= PIVOTS else ():
+            some = some[np.abs(d[some] - d[i]) <= 1 - similarity + 1e-9]
+        if len(some):
+            if held[some].sum() * 4 > len(flat):
+                count = np.r_[0, np.cumsum(mark[flat])]
+                common = (count[ends] - count[ends - held])[some]
+            else:
+                common = np.array([np.count_nonzero(mark[ids[j]]) for j in some.tolist()], dtype=np.int64)
+            near = common / (size[some] + size[i] - common)
+            near[some == i] = 1
+            if i < PIVOTS:
+                seen.append(1 - near)
+            if i == 0:
+                to_first = near
+            hit = some[near >= similarity - 1e-12]
+            names, first = np.unique(label[hit], return_index=True)
+            links += [(i, int(j)) for j, name in zip(hit[first], names) if name != label[i]]
+            label[np.isin(label, names)] = label[i]
+        mark[ids[i]] = False
+    return links, to_first
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, key: str = "doc_id", text: str = "text", large: int = LARGE_GROUP
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", large: int = LARGE_GROUP,
+    large_shingles: int = LARGE_SHINGLES,
 ) -> DataFrame:
-    """key and component_id of documents whose word shingles are alike, by fingerprints of 64 * words bits.
-
-    Sets of one size with Jaccard similarity s have cosine 2s / (1 + s), and of their fingerprints' bits a share of
-    acos(cosine) / pi differs: that and SLACK bits is the radius, over 512 bits sharp to about 0.03 in s. The numbers of
-    shingles must allow the similarity too: the smaller is at least s times the larger. Fingerprints meet where one
-    of their blocks of 16 bits is equal (at s = 0.85 with probability 0.97), and the index of the group drops nodes by
-    accumulated differences. Groups over `large` are cut into parts, each with the group's first fingerprint, so that
-    near copies by the thousand meet through it."""
+    """key and component_id of documents joined by word shingle sets of Jaccard similarity >= similarity.
+
+    Every link is decided on the sets themselves. Candidates come from BANDS bands of BAND_ROWS least hashes: a pair of
+    similarity s shares a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS, 0.99999 at 0.8. Equal sets collapse
+    first. Documents joined by bands make a candidate group, to which each text goes once, and all pairs of the group
+    count.
+
+    A group of more than `large` documents or `large_shingles` shingles is cut into parts, each with the group's first
+    document. Pairs of two parts that are both near the first one are joined through it; the others hold a document that
+    is not, so those documents then meet every part. So the same pairs decide at every size."""
     spark = docs.sparkSession
-    bits = BITS * words
-    cosine = 2 * similarity / (1 + similarity)
-    radius = int(bits * np.arccos(cosine) / np.pi) + SLACK
     plain = columns_of(docs, key, text).select(F.col(key), F.col(text).alias("_text"))
+    plain = plain.withColumn("row", F.xxhash64(key, "_text"))
+    kind = plain.schema[0].dataType.simpleString()
 
     def make(batches):
         for batch in batches:
-            fp, n = zip(*(wide_fingerprint(t.as_py(), shingle, words) for t in batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(n, pa.int32())], [key, "fp", "n"])
-
-    made = staged(plain.mapInArrow(make, f"`{key}` {plain.schema[0].dataType.simpleString()}, fp binary, n int"), "wide-fp")
-    own = made.groupBy("fp", "n").agg(F.min(key).alias("least"))
-    own = staged(own.select("fp", "n", F.coalesce("least", F.xxhash64("fp", "n")).alias("node")), "wide-distinct")
-    cut = F.explode(F.array(*(F.concat(F.lit(bytes([i])), F.substring("fp", 2 * i + 1, 2)) for i in range(bits // 16))))
-    dealt = staged(own.select(cut.alias("block"), "node", "fp", "n"), "wide-blocks")
-    heavy = dealt.groupBy("block").agg(F.count("*").alias("m"), F.min(F.struct("node", "fp", "n")).alias("first")).where(F.col("m") > large)
-    heavy = staged(heavy.select("block", F.ceil(F.col("m") / large).cast("int").alias("parts"), "first"), "wide-heavy")
-    share = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0))
-    all_parts = dealt.join(heavy.drop("first"), "block", "left").select(F.xxhash64("block", share).alias("group"), "node", "fp", "n")
-    firsts = heavy.select("block", "first.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
-    all_parts = all_parts.unionAll(firsts.select(F.xxhash64("block", "part").alias("group"), "node", "fp", "n"))
-    parts = partitions_for(spark, own.count() * (bits // 16), 200_000)
-
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        code = np.frombuffer(b"".join(frame["fp"]), dtype=np.uint64).reshape(-1, words)
-        order = gray_order(frame["group"].to_numpy(), code)
-        group, node, n = (frame[c].to_numpy()[order] for c in ("group", "node", "n"))
-        alike = lambda a, b: np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
-        pairs = ((a[ok], b[ok]) for a, b in close_pairs(group, code[order], radius) for ok in (alike(a, b),))
-        place, root = forest(len(code), pairs)
-        return pd.DataFrame({"a": node[root], "b": node[place]})
-
-    dealt = all_parts.repartition(parts, "group").sortWithinPartitions("group")
-    edges = dealt.mapInPandas(lambda frames: map(found, whole_groups(frames)), "a long, b long").where("a <> b").distinct()
-    classes = own.join(components(edges), "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component"))
-    least = made.join(classes, ["fp", "n"]).select(key, "component")
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            digest, n = pa.array(map(set_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32())
+            bands = pa.array(map(band_keys, sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digest, n, bands], [key, "row", "digest", "n", "bands"])
+
+    made = staged(plain.mapInArrow(make, f"`{key}` {kind}, row long, digest binary, n int, bands array<long>"), "shingle-sets")
+    own = made.groupBy("digest").agg(
+        F.min(key).alias("least"), F.min(F.struct(F.col(key).isNull(), key, "row")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
+    own = staged(own.select("digest", "n", "bands", "one.row", F.coalesce("least", F.xxhash64("digest")).alias("node")), "distinct-sets")
+    bands = staged(own.select("node", F.posexplode("bands").alias("i", "band")), "set-bands")
+    shared = bands.groupBy("i", "band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("i", "band", "a")
+    joined = components(bands.join(shared, ["i", "band"]).select("a", F.col("node").alias("b")))
+    asked = staged(own.drop("bands").join(joined, "node").withColumnRenamed("component", "group"), "candidates")
+    parts = F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum("n") / large_shingles)).cast("int")
+    cut = asked.groupBy("group").agg(parts.alias("parts"))
+    asked = asked.join(cut, "group")
+    texts = staged(plain.select("row", "_text").join(asked, "row").drop("row", "n"), "candidate-texts")
+    total = asked.count()
+
+    def compared(dealt: DataFrame, rows: int) -> DataFrame:
+        """Links (a, b) of each bucket; and b null for each a that is not near the bucket's first document."""
+
+        def run(frames):
+            for frame in whole_groups(frames, "bucket", 1_000):
+                for _, some in frame.groupby("bucket", sort=False):
+                    some = some.sort_values(["first", "node"], ascending=[False, True]).drop_duplicates(["node", "_text"])
+                    sets = [shingle_set(t, shingle) for t in some["_text"]]
+                    right = np.array([set_digest(x) == d for x, d in zip(sets, some["digest"])])
+                    some, sets = some[right], [x for x, ok in zip(sets, right) if ok]
+                    node, lead = some["node"].to_numpy(), some["first"].to_numpy()
+                    if not len(node):
+                        continue
+                    links, near = alike(sets, similarity)
+                    out = [(some["group"].iloc[0], node[i], node[j]) for i, j in links]
+                    far = node[near < similarity - 1e-12] if lead[0] else node[:0]
+                    group = [x[0] for x in out] + [some["group"].iloc[0]] * len(far)
+                    a, b = [x[1] for x in out] + far.tolist(), [x[2] for x in out] + [None] * len(far)
+                    yield pd.DataFrame({"group": group, "a": a, "b": pd.array(b, dtype="Int64")})
+
+        n = partitions_for(spark, rows, 2_000)
+        return staged(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "group long, a long, b long"), "set-links")
+
+    share = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    take = ["group", "node", "digest", "_text"]
+    lead = F.col("node") == F.col("group")
+    placed = texts.where(~(lead & (F.col("parts") > 1))).select(*take, F.lit(False).alias("first"), share.alias("part"))
+    placed = placed.unionAll(texts.where(lead & (F.col("parts") > 1)).select(*take, F.lit(True).alias("first"), each("parts").alias("part")))
+    edges = compared(placed.select(*take, "first", F.xxhash64("group", "part").alias("bucket")), total)
+    rest = edges.where("b is null").select("group", F.col("a").alias("node")).distinct()
+    if not rest.isEmpty():
+        rests = rest.groupBy("group").agg(F.ceil(F.count("*") / large).cast("int").alias("turns"))
+        far = texts.join(rest, ["group", "node"], "left_semi").join(rests, "group")
+        turn = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("turns")).cast("int").alias("turn")
+        members = texts.join(rests, "group").select(*take, share.alias("part"), each("turns").alias("turn"))
+        far = far.select(*take, turn, each("parts").alias("part")).select(*take, "part", "turn")
+        both = members.unionAll(far).select(*take, F.lit(False).alias("first"), F.xxhash64("group", "part", "turn").alias("bucket"))
+        edges = edges.unionAll(compared(both, both.select("bucket").count()))
+    found = components(edges.where("b is not null").select("a", "b"))
+    classes = own.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    least = made.join(classes, "digest").select(key, "component")
     firsts = least.groupBy("component").agg(F.min(key).alias("component_id"))
     return least.join(firsts, "component").select(key, "component_id")
 

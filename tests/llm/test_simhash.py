@@ -121,3 +121,59 @@ def test_similar_groups(spark, large):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), large=large).collect()}
     assert [got[i] for i in range(120)] == kind
     assert [got[i] for i in range(120, 124)] == [120, 120, 122, 123]
+
+
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def family(rng, count, most, words=300):
+    """Variants of one random text, each with up to `most` words replaced."""
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(words)]
+    out = []
+    for v in range(count):
+        own = base.copy()
+        for at in rng.sample(range(words), rng.randrange(most + 1)):
+            own[at] = f"edit{v}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("large", "limit"), [(5, 10**6), (2000, 2_000), (2000, 10**6)])
+def test_families_of_one_candidate_group_at_every_size(spark, large, limit, monkeypatch):
+    """All texts share a band; the links are those of all pairs, however the group is cut."""
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [1])
+    rng = random.Random(11)
+    texts = [t for k in range(6) for t in family(rng, 8, 9, 200)] + family(rng, 1, 0, 200)
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    want = plain_components(list(range(len(texts))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, large=large, large_shingles=limit).collect()}
+    assert got == want and len(set(want.values())) >= 7
+
+
+def test_pairs_at_the_threshold_against_brute_force(spark):
+    """Pairs of similarity 0.75 to 0.85: all of at least 0.8 are found and none below."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(400):
+        a, words = family(rng, 1, 0)[0], None
+        words = a.split()
+        for n, at in enumerate(rng.sample(range(len(words)), rng.randrange(5, 9))):
+            words[at] = f"edit{n}"
+        b = " ".join(words)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want[k] = jaccard(shingles(a), shingles(b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    at_least = [k for k, s in want.items() if 0.8 <= s <= 0.85]
+    below = [k for k, s in want.items() if s < 0.8]
+    assert len(at_least) > 80 and len(below) > 80
+    assert [k for k in at_least if got[2 * k + 1] != 2 * k] == []
+    assert [k for k in below if got[2 * k + 1] == 2 * k] == []

@@ -3,7 +3,9 @@
 Vectors are brought to length one and split in halves; each half has a codebook of its own, fitted on a bounded sample.
 The pairs of codewords form a grid of cells, and every vector stands in the cell of its nearest pair. A search visits
 cells in multi-sequence order, nearest pair first. How many cells are visited is set by measurement: a bounded sample of
-vectors is compared with all rows, and the number is the least at which the sample finds `recall` of its true partners.
+vectors that did not fit the codebooks is compared with all rows, and the number is the least at which the mean vector
+finds `recall` of its true partners, so a large group counts no more than a small one. Where too few of them have
+partners, each also gets a made one, turned away at random to a cosine just at the threshold.
 Every candidate is then verified by cosine in double precision, so no link lies below the threshold.
 
 Equal vectors collapse first and count with their number. A pair is found if either vector visits the other's cell;
@@ -22,7 +24,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityweave.llm.common import columns_of, components, hash_sample, partitions_for, staged
@@ -30,7 +32,9 @@ from cityweave.llm.simhash import forest
 
 COSINE, RECALL = 0.95, 0.995
 #: Vectors that fit the codebooks; vectors that set the number of cells visited.
-FIT_ROWS, TRIAL_ROWS = 8_192, 256
+FIT_ROWS, TRIAL_ROWS = 8_192, 1_024
+#: Trial vectors with partners that make a measurement.
+ENOUGH = 64
 #: Vectors a cell holds on average; members and visitors of a cell that meet in one block.
 CELL_ROWS, BLOCK_ROWS = 8, 2_048
 MOST_WORDS = 1_024
@@ -117,7 +121,8 @@ class Index:
 
 
 def visits_for(index: Index, own: DataFrame, trial: np.ndarray, width: int, cosine: float, recall: float) -> int:
-    """The least number of cells at which the trial vectors, compared with all rows, find `recall` of their partners."""
+    """The least number of cells at which the trial vectors, compared with all rows, find on average `recall` of their
+    partners."""
     spark = own.sparkSession
     held = spark.sparkContext.broadcast((index, trial))
 
@@ -131,17 +136,28 @@ def visits_for(index: Index, own: DataFrame, trial: np.ndarray, width: int, cosi
                 a, b = np.nonzero((cos >= cosine) & (cos < 1 - 1e-12))
                 if len(a):
                     theirs = idx.rank(q[a], idx.cells(x[b], 1)[:, 0])
-                    ranks, n = np.unique(np.minimum(theirs, idx.rank(x[b], cells[a])), return_counts=True)
-                    yield pd.DataFrame({"rank": ranks, "n": n})
-
-    found = own.select("v").mapInPandas(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank")
-    got = found.collect()  # ranks are cells at most
-    total, so_far = sum(r.n for r in got), 0
-    for r in got:
-        so_far += r.n
-        if so_far >= recall * total:
-            return min(index.words**2, max(4, r["rank"] + 1))
-    return 4
+                    ranks = np.minimum(theirs, idx.rank(x[b], cells[a]))
+                    yield pd.DataFrame({"a": a, "rank": ranks}).value_counts().rename("n").reset_index()
+
+    pairs = own.select("v").mapInPandas(run, "a long, rank long, n long").groupBy("a", "rank").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("a"))
+    pairs = staged(pairs.select("a", "rank", share.alias("share")), "trial-ranks")
+    seen = pairs.select("a").distinct().count()
+    got = {r["rank"]: r["share"] for r in pairs.groupBy("rank").agg(F.sum("share").alias("share")).collect()}  # ranks are cells at most
+    if seen < ENOUGH:
+        away = np.random.default_rng(31).normal(size=trial.shape)
+        away -= (away * trial).sum(axis=1)[:, None] * trial
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+        made = cosine * trial + (1 - cosine**2) ** 0.5 * away
+        theirs = index.rank(trial, index.cells(made, 1)[:, 0])
+        for r in np.minimum(theirs, index.rank(made, index.cells(trial, 1)[:, 0])).tolist():
+            got[r] = got.get(r, 0.0) + 1.0
+    total, so_far = sum(got.values()), 0.0
+    for r in sorted(got):
+        so_far += got[r]
+        if so_far >= recall * total - 1e-9:
+            break
+    return min(index.words**2, max(4, r + 1))
 
 
 def linked(own: DataFrame, index: Index, visits: int, width: int, cosine: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -239,10 +255,12 @@ def near_duplicates(
         return alone
     width = own.agg(F.max(F.octet_length("v"))).first()[0] // 4
     width += width % 2
-    sample = hash_sample(own, FIT_ROWS, total, "h1", "h2").select("v").toPandas()["v"].tolist()
+    sample = hash_sample(own, FIT_ROWS + TRIAL_ROWS, total, "h1", "h2").select("v").toPandas()["v"].tolist()
+    held_out = min(TRIAL_ROWS, -(-len(sample) // 4))
+    trial, sample = sample[:held_out], sample[held_out:] or sample
     words = 1 << max(0, min(MOST_WORDS, len(sample), int((total / CELL_ROWS) ** 0.5)).bit_length() - 1)
     index = Index(unit(sample, width), words)
-    visits = visits_for(index, own, unit(sample[:TRIAL_ROWS], width), width, cosine, recall)
+    visits = visits_for(index, own, unit(trial, width), width, cosine, recall)
     links = linked(own.select("id", "v", "n"), index, min(visits, words**2), width, cosine, block_rows)
     counts = links.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     comp = components(links.where("links is null").select("a", "b"))

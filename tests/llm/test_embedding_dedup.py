@@ -76,3 +76,33 @@ def test_multi_sequence_is_in_order_of_distance():
 
 def test_empty_table(spark):
     assert ed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def own_of(spark, vectors):
+    return spark.createDataFrame([(bytearray(v.astype("<f4").tobytes()),) for v in vectors], "v binary")
+
+
+def test_visits_are_not_set_by_one_tight_group(spark):
+    rng = np.random.default_rng(8)
+    tight = rng.normal(size=(1, 16)) + 0.001 * rng.normal(size=(600, 16))
+    a = rng.normal(size=(200, 16))
+    away = rng.normal(size=a.shape)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    away -= (away * a).sum(axis=1)[:, None] * a
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    b = 0.951 * a + (1 - 0.951**2) ** 0.5 * away
+    rows = [v.astype("<f4").tobytes() for v in np.concatenate([tight, a, b])]
+    x = ed.unit(rows, 16)
+    index = ed.Index(ed.unit([v.astype("<f4").tobytes() for v in rng.normal(size=(500, 16))], 16), 16)
+    trial = np.concatenate([x[:100], x[600:800]])
+    visits = ed.visits_for(index, own_of(spark, x), trial, 16, 0.95, 0.995)
+    p, q = x[600:800], x[800:]
+    rank = np.minimum(index.rank(p, index.cells(q, 1)[:, 0]), index.rank(q, index.cells(p, 1)[:, 0]))
+    assert (rank < visits).mean() >= 0.99
+
+
+def test_visits_are_measured_without_partners(spark):
+    rng = np.random.default_rng(9)
+    x = ed.unit([v.astype("<f4").tobytes() for v in rng.normal(size=(400, 16))], 16)
+    index = ed.Index(x[200:], 16)
+    assert ed.visits_for(index, own_of(spark, x), x[:200], 16, 0.95, 0.995) > 4

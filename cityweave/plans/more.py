@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityweave.functions import columns as fn
-from cityweave.operators import matching, osm, questions, stats, windows
+from cityweave.operators import matching, osm, questions, stats
 from cityweave.plans.spatial import grid, points
 
 
@@ -87,8 +87,8 @@ def disruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points every 0.2 along each user's path of the day and value of up to six events."""
-    e = windows.best_per(_t(spark, sf_dir, "events"), ["user_id"], [F.asc("ts"), F.asc("event_id")], 6)
+    """Points every 0.2 along each user's path of the day and value of all events."""
+    e = _t(spark, sf_dir, "events").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     line = e.select(F.col("user_id").alias("id"), F.col("rank").alias("seq"), (F.col("value") / 50).alias("x"), (F.dayofmonth("ts") / 3).alias("y"))
     return osm.line_samples(line, 0.2).groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("y"), 4).alias("sy"))
 

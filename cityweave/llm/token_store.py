@@ -16,30 +16,34 @@ in order of the text's hash; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cityweave.llm.bpe import byte_symbols
 from cityweave.llm.common import columns_of, dropped, new_path, partitions_for, release, staged
 
 BLOCK_TOKENS, CHECKPOINT_TOKENS, MAX_LANES = 1 << 18, 1 << 17, 1 << 10
 PROB_BITS = 18
+#: Parts whose sizes one task adds up.
+PART_GROUP = 4_096
 LOW = 1 << 31
 MAGIC = b"RANSBLK1"
 HEAD = struct.Struct("<8sIIIII")  # magic, tokens, lanes, checkpoints, words, bytes of the document index
 CHECK = struct.Struct("<III")  # step, word offset, CRC-32 of the ids up to the next checkpoint
-#: Words with their ids in each of two generations that a worker keeps. It only saves work.
-CACHE_WORDS = 350_000
+#: Units with their ids that a worker keeps. It only saves work.
+CACHE_UNITS = 1_500_000
+#: Letters of words that are one piece for the tokenizer; punctuation that may follow and is then one piece as well.
+LETTERS = "".join(chr(c) for c in (*range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))
+TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class Table:
@@ -163,25 +167,6 @@ def crc32_join(a: int, b: int, size: int) -> int:
     return a ^ b
 
 
-class Known(dict):
-    """A dict that learns what it is asked for. Of its two generations the older goes when the newer is full, but for
-    the words that were asked for again."""
-
-    def __init__(self, learn):
-        self.learn, self.old = learn, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if (ids := self.old.get(word)) is None:
-            ids = self.learn(word)
-        self[word] = ids
-        return ids
-
-    def age(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-
-
 @cache
 def encoder_for(path: str) -> WordEncoder:
     """One encoder for all tasks of a Python worker."""
@@ -189,54 +174,83 @@ def encoder_for(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Whole texts to ids by the tokenizers library, which is asked once for each word it meets.
+    """Whole texts to ids by the tokenizers library, which is asked once for each unit a worker meets.
 
     White space never enters a token of this tokenizer and its normalizer never acts across it, so a text's ids are the
     ids of the parts between ASCII white space, in order. ASCII letters are put in lower case first, as the tokenizer
     does, unless a combining mark (which may join a letter of one case only) or the opening of a special token is in the
-    text. A word of letters followed by punctuation is two pieces for the tokenizer as well, so both are kept apart."""
+    text. A word of letters followed by punctuation is two pieces for the tokenizer, so both are units of their own; any
+    other word is one unit. New units of letters go to the library many at a time, with a space between them: each is one
+    piece for it, and the last id of a piece is one of a word's end.
+
+    Texts, words and ids stay in Arrow arrays; only new units become Python objects. Past CACHE_UNITS units only those
+    of the texts at hand are kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), Known(self.learn)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark = re.compile("[\u0300-\u036f]").search
-        self.plain = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?)\]]*)").fullmatch
-        self.model, self.symbols = self.library.model, {b: s for b, s in enumerate(byte_symbols())}
-
-    def words(self, text: str | None) -> list[bytes]:
-        if not text:
-            return []
-        if "<|" in text or not text.isascii() and self.mark(text):
-            return text.encode().split()
-        return text.encode().lower().split()
-
-    def learn(self, word: bytes) -> bytes:
-        """The ids of one word, as bytes."""
-        if word.isalpha() and word.islower():
-            ids = [t.id for t in self.model.tokenize(word.decode())]
-        elif m := self.plain(word):
-            letters, tail = m.groups()
-            if tail:
-                return self.known[letters] + self.known[tail]
-            text = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(self.symbols)
-            ids = [t.id for t in self.model.tokenize(text)]
-        else:
-            ids = self.library.encode(word.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encoded(self, texts: list[str | None]):
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        get = self.known.__getitem__
-        for text in texts:
-            self.known.age()
-            yield b"".join(map(get, self.words(text)))
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.units, self.ids = pa.array([""]), pa.array([b""])
+
+    def learn(self, units: pa.Array) -> None:
+        """Ask the library for units that are not known."""
+        letters = pc.equal(pc.utf8_ltrim(units, characters=LETTERS), "")
+        plain, other = units.filter(letters), units.filter(pc.invert(letters))
+        raw, ends = [], [np.zeros(1, dtype=np.int64)]
+        for lo in range(0, len(plain), 1000):
+            some = plain.slice(lo, 1000).to_pylist()
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                raise RuntimeError("a word of letters is more than one piece for this tokenizer")
+            raw.append(ids.tobytes())
+            ends.append(ends[-1][-1] + cuts * self.kind.itemsize)
+        offsets = pa.py_buffer(np.concatenate(ends).astype(np.int32))
+        asked = self.library.encode_batch_fast(other.to_pylist(), add_special_tokens=False)
+        asked = pa.array([np.array(x.ids, dtype=self.kind).tobytes() for x in asked], pa.binary())
+        made = pa.Array.from_buffers(pa.binary(), len(plain), [None, offsets, pa.py_buffer(b"".join(raw))])
+        self.units, self.ids = pa.concat_arrays([self.units, plain, other]), pa.concat_arrays([self.ids, made, asked])
+
+    def ids_of(self, words: pa.Array) -> pa.Array:
+        """The ids of each word, as bytes."""
+        tail = pc.utf8_ltrim(words, characters=LETTERS)
+        plain = pc.and_(
+            pc.equal(pc.ascii_ltrim(tail, characters=TAIL), ""), pc.less(pc.binary_length(tail), pc.binary_length(words))
+        )
+        parts = [pc.if_else(plain, pc.ascii_rtrim(words, characters=TAIL), words), pc.if_else(plain, tail, "")]
+        units = pa.concat_arrays(parts)
+        at = pc.index_in(units, value_set=self.units)
+        if at.null_count:
+            self.learn(units.filter(at.is_null()).unique())
+            at = pc.index_in(units, value_set=self.units)
+        ids = self.ids.take(at)
+        if len(self.units) > CACHE_UNITS:
+            used = pa.array(np.union1d([0], at.to_numpy()))
+            self.units, self.ids = self.units.take(used), self.ids.take(used)
+        return pc.binary_join_element_wise(ids.slice(0, len(words)), ids.slice(len(words)), b"")
+
+    def encoded(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text as little-endian unsigned integers of type `kind`, with `end` after them."""
+        texts = pc.fill_null(texts, "")
+        exact = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u036f]"))
+        words = pc.ascii_split_whitespace(pc.if_else(exact, texts, pc.ascii_lower(texts)))
+        numbered = words.flatten().dictionary_encode()
+        known = pa.concat_arrays([self.ids_of(numbered.dictionary), pa.array([end], pa.binary())])
+        stops = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+        code = np.insert(numbered.indices.to_numpy(), stops, len(known) - 1)
+        made = known.take(pa.array(code))
+        ends = np.frombuffer(made.buffers()[1], np.int32, len(made) + 1, 4 * made.offset)
+        ends = ends[np.r_[0, stops + np.arange(1, len(stops) + 1)]]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), made.buffers()[2]])
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, at, n, key, ids): ids as bytes, 2 or 4 each, at the token's place in its part; parts are ranges of key."""
+    """(part, at, n, key, ids): ids as bytes of one width, at the token's place in its part; parts are ranges of key."""
     spark = docs.sparkSession
     docs = columns_of(docs, key, text).select(F.col(key), F.col(text).alias("_text"))
     n = partitions_for(spark, docs.count(), 20_000)
@@ -245,36 +259,34 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
 
     def run(batches):
         encoder, part, at = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=encoder.kind).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                some = batch.slice(lo, 1024)
-                ids = [x + end for x in encoder.encoded(some.column(1).to_pylist())]
-                sizes = [len(x) // 4 for x in ids]
-                places = (at + np.cumsum([0, *sizes[:-1]])).astype(np.int64)
-                at += sum(sizes)
+            for some in portions(batch):
+                ids = encoder.encoded(some.column(1), end)
+                sizes = pc.binary_length(ids).to_numpy().astype(np.int64) // encoder.kind.itemsize
+                places = at + np.cumsum(sizes) - sizes
+                at += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * len(ids), pa.int32()),
-                        pa.array(places),
-                        pa.array(sizes, pa.int64()),
-                        some.column(0),
-                        pa.array([narrow(x) for x in ids], pa.binary()),
-                    ],
+                    [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(places), pa.array(sizes), some.column(0), ids],
                     ["part", "at", "n", key, "ids"],
                 )
 
     return ranged.mapInArrow(run, f"part int, at long, n long, `{key}` {docs.schema[0].dataType.simpleString()}, ids binary")
 
 
-def narrow(raw: bytes) -> bytes:
-    """A leading 2 or 4 for the width, then the ids."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + raw
+def portions(batch: pa.RecordBatch, most: int = 8 << 20):
+    """The batch in slices of about so many bytes of text, and of at least one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(size, dtype=np.int64), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
-def widen(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1)
+def widen(raw: bytes, n: int) -> np.ndarray:
+    """The n ids of a value of tokenize()."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}")
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -284,14 +296,16 @@ def token_counts(tokens: DataFrame) -> DataFrame:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                made = np.bincount(np.concatenate([widen(x) for x in batch.column(0).slice(lo, 500).to_pylist()]))
+                some = batch.slice(lo, 500)
+                n = pc.sum(some.column(1)).as_py()
+                made = np.bincount(widen(b"".join(some.column(0).to_pylist()), n))
                 if len(made) > len(total):
                     total = np.r_[total, np.zeros(len(made) - len(total), dtype=np.int64)]
                 total[: len(made)] += made
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_store(
@@ -323,7 +337,7 @@ def write_store(
                 if p != part or at != begin + have:
                     flush()
                     part, begin = p, at
-                left, done = widen(raw), 0
+                left, done = widen(raw, n), 0
                 while done < n:
                     some = min(n - done, block_tokens - have)
                     ids.append(left[done : done + some])
@@ -378,9 +392,13 @@ def read_store(index: DataFrame, table: Table, folder: str, key: str = "doc_id",
 
 def document_sums(pieces: DataFrame, parts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) from pieces; those of a document in several blocks are joined in order."""
-    base = parts.select(
-        "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
-    )
+    # tokens before each part: sums of groups of parts first, so that no task sees a row for every part
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = parts.withColumn("grp", F.floor(F.col("part") / PART_GROUP))
+    groups = grouped.groupBy("grp").agg(F.sum("n").alias("n"))
+    groups = groups.select("grp", before(Window.orderBy("grp")).alias("g"))
+    base = grouped.withColumn("base", before(Window.partitionBy("grp").orderBy("part"))).join(groups, "grp")
+    base = base.select("part", (F.col("base") + F.col("g")).alias("base"))
     whole = pieces.where("size = n").select("part", key, "at", "n", "crc")
 
     def join(frames):
@@ -401,7 +419,7 @@ def document_sums(pieces: DataFrame, parts: DataFrame, key: str = "doc_id") -> D
         F.sort_array(F.collect_list(F.struct("done", "size", "crc"))).alias("pieces")
     )
     several = several.mapInPandas(join, T.StructType(whole.schema.fields))
-    every = whole.unionByName(several).join(F.broadcast(base), "part")
+    every = whole.unionByName(several).join(base, "part")
     return every.select(key, (F.col("base") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,8 +48,24 @@ def test_crc_join():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.text(st.characters(codec="utf-8"), max_size=60), st.text("abzAZ .,'!éÉßñ÷\u0301<|", max_size=40)), max_size=4))
 def test_words_give_the_ids_of_whole_texts(texts):
-    for text, raw in zip(texts, ts.WordEncoder(PATH).encoded(texts)):
-        assert np.frombuffer(raw, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    coder = ts.WordEncoder(PATH)
+    got = coder.encoded(pa.array(texts, pa.string())).to_pylist()
+    assert [np.frombuffer(x, coder.kind).tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_units_are_forgotten_and_asked_again(monkeypatch):
+    monkeypatch.setattr(ts, "CACHE_UNITS", 4)
+    coder = ts.WordEncoder(PATH)
+    for texts in (["one two, three!!! it's", None, ""], ["two three four\" five-six Ñandú"], ["one one, one"]):
+        got = coder.encoded(pa.array(texts, pa.string()), b"\1\0").to_pylist()
+        want = [[*LIBRARY.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert [np.frombuffer(x, coder.kind).tolist() for x in got] == want
+    assert len(coder.units) <= 4
+
+
+def test_portions():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["abc", None, "d" * 50, "e"])], ["k", "t"])
+    assert [b.column(0).to_pylist() for b in ts.portions(batch, 4)] == [[1, 2], [3], [4]]
 
 
 @pytest.mark.parametrize("block", [500, None])

@@ -5,18 +5,23 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The temporary folder of an application that has no spark.checkpoint.dir.
 _OWN: dict[str, str] = {}
+#: Folder of each staged table that is still in use.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         at = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
     return at.rstrip("/")
@@ -30,12 +35,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a staged table that no later step reads."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    """Delete the folder of a staged table that no later step reads."""
+    if (name := _FOLDERS.pop(df, None)) is not None:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -71,6 +78,26 @@ def columns_of(df: DataFrame, *needed: str) -> DataFrame:
     return plain.select(*(F.col(f"_{names.index(n)}").alias(n) for n in needed))
 
 
+#: No more keys than this can each hold over a HOT_SHARE-th of the rows, so their table may be broadcast.
+HOT_SHARE, SALTS = 1_000, 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, rows: int) -> DataFrame:
+    """Of counts (keys, n), one row a key, the keys that hold over a HOT_SHARE-th of so many rows."""
+    return counts.where(F.col(n) * HOT_SHARE > rows).select(*keys)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), inner, left, left_semi or left_anti, where the rows of left with a hot key (see
+    hot_keys()) are dealt over SALTS tasks by a hash of the whole row and the few rows of right with that key go to each."""
+    flag = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    whole = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    left = left.join(flag, keys, "left").withColumn("_salt", F.when(F.col("_hot"), whole).otherwise(0)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(flag, keys, "left").withColumn("_salt", F.explode(each)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
     """Connected components of an edge table of longs: (node, component), component the smallest node reachable.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityweave.llm.common import columns_of, dropped, partitions_for, release, staged
+from cityweave.llm.common import columns_of, dropped, hot_keys, partitions_for, release, spread_join, staged
 
 WINDOW, GRAM = 200, 32
 #: Kinds of one anchor that a task compares in memory; starts in a block where there are more.
@@ -209,25 +209,30 @@ def spread_out(kinds: DataFrame, window: int, step: int = STEP) -> DataFrame:
         again.select("u1", "u2", "lo", "hi", "bytes").mapInArrow(write, "u1 long, u2 long, at int, w1 long, w2 long"), "windows"
     )
     same = windows.groupBy("w1", "w2").agg(unlike("u1", "u2").alias("met")).where("met").select("w1", "w2")
-    partly = windows.join(same, ["w1", "w2"], "left_semi").select("u1", "u2", "at")
-    whole = left.join(unions.where("twice").select("u1", "u2"), ["u1", "u2"], "left_semi").select("d1", "d2", "lo", "hi")
-    first = F.col("lo") + F.col("at")
-    some = left.join(partly, ["u1", "u2"]).select("d1", "d2", first.alias("lo"), (first + 1).alias("hi"))
-    return whole.unionAll(some)
+    # of each kind of block the starts that repeat, in one row, so that its blocks stay one row each
+    partly = windows.join(same, ["w1", "w2"], "left_semi").groupBy("u1", "u2").agg(F.collect_set("at").alias("at"))
+    hits = unions.join(partly, ["u1", "u2"], "left").where("twice or at is not null")
+    hits = hits.select("u1", "u2", F.when(~F.col("twice"), F.col("at")).alias("at"))
+    lo = F.col("lo")
+    every = F.array(F.struct(lo.alias("lo"), F.col("hi").alias("hi")))
+    some = F.transform("at", lambda x: F.struct((lo + x).alias("lo"), (lo + x + 1).alias("hi")))
+    return left.join(hits, ["u1", "u2"]).select("d1", "d2", F.when(F.col("at").isNull(), every).otherwise(some).alias("at"))
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, large: int = LARGE) -> DataFrame:
     """(k1, k2, spans): for each text of texts (k1, k2, text) its byte intervals [a, b) under repeated windows, unmerged."""
     spark = texts.sparkSession
     every = staged(anchors(texts, window), "anchors")
-    several = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    runs = staged(every.join(several, "anchor"), "runs")
+    several = staged(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    hot = hot_keys(several, ["anchor"], "n", every.count())
+    runs = staged(spread_join(every, several.select("anchor"), ["anchor"], hot, "left_semi"), "runs")
     dropped(spark, every)
     release(spark)
     kinds = runs.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi", "off")).alias("one"))
     kinds = staged(kinds, "kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    odd = kinds.join(mixed, "anchor").select("anchor", "d1", "d2", "m", "one.*")
+    mixed = staged(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
+    hot = hot_keys(mixed, ["anchor"], "m", kinds.count())
+    odd = spread_join(kinds, mixed, ["anchor"], hot).select("anchor", "d1", "d2", "m", "one.*")
     held = odd.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "d1", "d2", "m", "lo", "hi", "off")).alias("runs"))
     cut = texts.join(held, ["k1", "k2"]).select(F.encode("text", "UTF-8").alias("raw"), F.explode("runs").alias("r"))
     cut = cut.select("r.anchor", "r.d1", "r.d2", "r.m", "r.off", F.expr(f"substring(raw, r.lo + 1, r.hi - r.lo + {window})").alias("bytes"))
@@ -235,16 +240,18 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, large: int = LARGE) -
     cut = staged(cut, "odd-runs")
     release(spark)
     parts = partitions_for(spark, cut.count(), 20_000)
-    found = compared(cut.where(F.col("m") <= large), window, parts).unionAll(spread_out(cut.where(F.col("m") > large), window))
+    found = compared(cut.where(F.col("m") <= large), window, parts).select("d1", "d2", F.array(F.struct("lo", "hi")).alias("at"))
+    found = found.unionAll(spread_out(cut.where(F.col("m") > large), window))
     # kinds that occur more than once are repeated as a whole, whatever was found for them besides
-    starts = found.groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
+    starts = found.groupBy("d1", "d2").agg(F.flatten(F.collect_list("at")).alias("at"))
     twice = kinds.where("n > 1").select("d1", "d2")
     once = starts.join(twice, ["d1", "d2"], "left_anti")
     state = staged(twice.withColumn("at", F.lit(None).cast(starts.schema["at"].dataType)).unionAll(once), "repeated")
     span = lambda lo, hi: F.struct((F.col("lo") + lo).alias("a"), (F.col("lo") + hi + (window - 1)).alias("b"))
     whole = F.array(span(F.lit(0), F.col("hi") - F.col("lo") + 1))
     spans = F.when(F.col("at").isNull(), whole).otherwise(F.transform("at", lambda x: span(x["lo"], x["hi"])))
-    hit = runs.join(state, ["d1", "d2"]).select("k1", "k2", F.explode(spans).alias("s"))
+    hot = staged(hot_keys(kinds, ["d1", "d2"], "n", runs.count()).distinct(), "hot-kinds")
+    hit = spread_join(runs, state, ["d1", "d2"], hot).select("k1", "k2", F.explode(spans).alias("s"))
     return staged(hit.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "spans")
 
 

@@ -78,6 +78,12 @@ def columns_of(df: DataFrame, *needed: str) -> DataFrame:
     return plain.select(*(F.col(f"_{names.index(n)}").alias(n) for n in needed))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed c0, c1, ... by place, and the new name of each; restore with toDF(*df.columns)."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 #: No more keys than this can each hold over a HOT_SHARE-th of the rows, so their table may be broadcast.
 HOT_SHARE, SALTS = 1_000, 64
 

@@ -327,7 +327,8 @@ def similar_groups(
     document. Pairs of two parts that are both near the first one are joined through it; the others hold a document that
     is not, so those documents then meet every part. So the same pairs decide at every size."""
     spark = docs.sparkSession
-    plain = columns_of(docs, key, text).select(F.col(key), F.col(text).alias("_text"))
+    plain = columns_of(docs, key, text).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    name, key = key, "_key"
     plain = plain.withColumn("row", F.xxhash64(key, "_text"))
     kind = plain.schema[0].dataType.simpleString()
 
@@ -396,7 +397,7 @@ def similar_groups(
     classes = own.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     least = made.join(classes, "digest").select(key, "component")
     firsts = least.groupBy("component").agg(F.min(key).alias("component_id"))
-    return least.join(firsts, "component").select(key, "component_id")
+    return least.join(firsts, "component").select(F.col(key).alias(name), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import corpus_pipeline
+import pytest
 from tokenizers import Tokenizer
 
 from cityweave.llm import bpe
@@ -33,3 +34,67 @@ def test_stages_one_by_one(spark, tmp_path):
     library = Tokenizer.from_file(bpe.default_tokenizer())
     for i in list(rows[5])[::20]:
         assert rows[5][i].n_tokens == len(library.encode(rows[4][i].text, add_special_tokens=False).ids)
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi omikron pi rho sigma tau ypsilon".split()
+LONG = " ".join(WORDS[i * i % 20] + WORDS[i % 17] for i in range(20_000))
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Rows with nulls in every column, empty and long texts, repeated ids and rows, and columns of clashing names."""
+    text = {c: " ".join(f"{c}{w}{i % 7}" for i, w in enumerate(WORDS * 2)) for c in "ABC"}
+    rows = [(1, text["A"]), (2, text["A"]), (2, text["B"]), (3, text["A"]), (3, text["A"]), (5, text["C"]), (5, text["C"])]
+    rows += [(None, text["A"]), (None, text["B"] + "!"), (6, None), (7, ""), (8, "  \n"), (9, None), (10, LONG), (11, LONG + " end")]
+    rows = [(i, t, "en", None if n % 5 == 4 else f"s{n % 3}", None if t is None else len(t), f"x{n}", n, n, n, n, n) for n, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, _slot int, _block int, _toxicity int, score int, row int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path)
+
+
+def key(r):
+    return str(tuple(r))
+
+
+@pytest.fixture(autouse=True)
+def case_sensitive(spark, request):
+    if "odd" in request.fixturenames or "name" in request.fixturenames:
+        spark.conf.set("spark.sql.caseSensitive", "true")  # else Spark itself can't write such a table
+    yield
+    spark.conf.set("spark.sql.caseSensitive", "false")
+
+
+def test_stages_keep_odd_rows_and_names(spark, odd):
+    docs, at = odd
+    every = sorted(docs.collect(), key=key)
+    for name in ("toxicity", "line_dedup", "mixing"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, at)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert sorted(out.collect(), key=key) == every, name
+    out = dict(corpus_pipeline.STAGES)["bpe"](spark, docs, at)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in out.collect())
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, len(library.encode(r.text or "").ids)) for r in every)
+
+
+def test_stages_resolve_names_without_case_sensitivity(spark, odd):
+    docs, at = odd
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns and out.count() == (8 if name == "near_dedup" else 15), name
+
+
+def test_near_copies_go_by_row_not_by_id(spark, odd):
+    docs, at = odd
+    out = corpus_pipeline.drop_near_copies(spark, docs, at)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    # of the rows of A the one of id 1; B stays under id 2; the first row of C; no wordless row goes; one long text stays
+    assert sorted(r.TEXT for r in out.collect()) == sorted(f"x{n}" for n in (0, 2, 5, 9, 10, 11, 12, 13))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_an_empty_table(spark, odd, name):
+    docs, at = odd
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), at)
+    assert out.collect() == [] and (name == "bpe" or out.columns == docs.columns)

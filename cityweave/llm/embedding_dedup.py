@@ -37,6 +37,8 @@ FIT_ROWS, TRIAL_ROWS = 8_192, 1_024
 ENOUGH = 64
 #: Vectors a cell holds on average; members and visitors of a cell that meet in one block.
 CELL_ROWS, BLOCK_ROWS = 8, 2_048
+#: Visitors of a block that are compared with its members at once.
+CHUNK = 256
 MOST_WORDS = 1_024
 
 
@@ -212,23 +214,38 @@ def linked(own: DataFrame, index: Index, visits: int, width: int, cosine: float,
             mid = lo + int((role[lo:hi] == 0).sum())  # members come first
             if mid in (lo, hi):
                 continue
-            a, b = np.nonzero(x[mid:hi] @ x[lo:mid].T >= cosine - 1e-9)
-            a, b = a + mid, b + lo
-            exact = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (ids[a] != ids[b])
-            a, b = a[exact], b[exact]
-            if not len(a):
-                continue
-            # the member counts this pair too unless it visits the other's cell itself
-            alone = np.array([home[i] not in seen[j] for i, j in zip(a, b)])
-            count = pd.Series(np.r_[n[b], n[a[alone]]]).groupby(np.r_[ids[a], ids[b[alone]]]).sum()
-            out.append(pd.DataFrame({"a": count.index.astype("int64"), "links": count.to_numpy()}))
-            edges.append(np.stack([ids[a], ids[b]], axis=1))
-        if out:
-            pairs = np.concatenate(edges)
-            names, at = np.unique(pairs, return_inverse=True)
+            members, own = slice(lo, mid), np.zeros(hi - lo, dtype=np.int64)
+            cells = np.unique(home[mid:hi])
+            # which members visit which of the visitors' cells: such a pair is counted there for the member's side
+            visited = np.zeros((len(cells), mid - lo), dtype=bool)
+            flat, row = np.concatenate(seen[lo:mid]), np.repeat(np.arange(mid - lo), [len(s) for s in seen[lo:mid]])
+            place = np.searchsorted(cells, flat)
+            hit = cells[np.minimum(place, len(cells) - 1)] == flat
+            visited[place[hit], row[hit]] = True
+            label = np.arange(mid - lo)
+            for at in range(mid, hi, CHUNK):
+                some = slice(at, min(at + CHUNK, hi))
+                cos = x[some] @ x[members].T
+                near = cos >= cosine + 1e-9
+                a, b = np.nonzero((cos >= cosine - 1e-9) & ~near)
+                near[a, b] = np.einsum("ij,ij->i", x[some][a], x[members][b]) >= cosine
+                near &= ids[some, None] != ids[None, members]
+                alone = near & ~visited[np.searchsorted(cells, home[some])]
+                own[some.start - lo : some.stop - lo] += near @ n[members]
+                own[: mid - lo] += n[some] @ alone
+                for r in np.flatnonzero(near.any(axis=1)).tolist():  # an edge for each tree of members that meets here
+                    names, first = np.unique(np.where(near[r], label, len(label)), return_index=True)
+                    first = first[names < len(label)]
+                    edges += [(ids[at + r], ids[lo + j]) for j in first.tolist()]
+                    if len(first) > 1:
+                        label[np.isin(label, names[names < len(label)])] = names[0]
+            linked_here = np.flatnonzero(own)
+            out.append(pd.DataFrame({"a": ids[lo:hi][linked_here], "links": own[linked_here]}))
+        if edges:
+            names, at = np.unique(np.array(edges, dtype=np.int64), return_inverse=True)
             at = at.reshape(-1, 2)
             place, root = forest(len(names), [(at[:, 0], at[:, 1])])
-            counts = pd.concat(out).assign(b=pd.NA)
+            counts = pd.concat(out).groupby("a", as_index=False)["links"].sum().assign(b=pd.NA)
             joined = pd.DataFrame({"a": names[place], "b": names[root], "links": pd.NA})
             both = pd.concat([counts[["a", "b", "links"]], joined])
             yield both.astype({"a": "Int64", "b": "Int64", "links": "Int64"})

@@ -55,3 +55,34 @@ def test_fewer_candidates_and_empty(spark):
     v = maxscore.integers(df)
     assert [tuple(r) for r in maxscore.top_k(v, v.where("id = 0")).collect()] == [(0, 1, 1, 131072)]
     assert maxscore.top_k(v.limit(0), v.limit(0)).collect() == []
+
+
+def test_heads_skip_postings_and_keep_the_result():
+    rows = some_rows(4000, 32, 3)
+    ids, docs = np.arange(4000), np.array([[math.floor(256 * x) for x in v] for _, v in rows])
+    p = maxscore.Postings(ids, docs)
+    for i in range(0, 4000, 100):
+        at, score = p.best(i, docs[i], 5, -np.inf)
+        every = docs @ docs[i]
+        every[i] = -(10**15)
+        want = np.lexsort((ids, -every))[:5]
+        assert (at == want).all() and (score == every[want]).all()
+    assert p.touched < 0.55 * 40 * docs.size and p.probed < 0.1 * 40 * docs.size
+
+
+def test_pieces_below_the_threshold_are_not_entered():
+    docs = np.array([[3, 1], [2, 2], [1, -5]])
+    p = maxscore.Postings(np.arange(3), docs)
+    assert len(p.best(9, np.array([1, 1]), 1, 6.0)[0]) == 0 and p.touched == 0
+    at, score = p.best(9, np.array([1, 1]), 2, 4.0)
+    assert (at.tolist(), score.tolist()) == ([0, 1], [4, 4])
+    assert [x.tolist() for x in p.best(9, np.array([0, 0]), 2, -np.inf)] == [[0, 1], [0, 0]]
+
+
+def test_only_shards_in_reach_are_visited(spark):
+    rng = np.random.default_rng(5)
+    base = np.repeat(np.eye(8), 50, axis=0) * 4 + 0.1 * rng.random((400, 8))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(base)] + [(1000, None)]
+    v = maxscore.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted(map(tuple, maxscore.top_k(v, v.where("id % 50 = 0"), shard_rows=50, block_queries=3).collect()))
+    assert got == brute(rows)

@@ -135,9 +135,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         )
         after = staged(after, f"edges{r}")
         dropped(spark, left)
+        release(spark)
         left = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    dropped(spark, left)
     if not chosen:
         return spark.createDataFrame([], "node long, component long")
     label = chosen[-1]
@@ -147,4 +149,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         )
     label = staged(label, "roots")
     least = label.groupBy("to").agg(F.min("node").alias("component"))
-    return staged(label.join(least, "to").select("node", "component"), "components")
+    out = staged(label.join(least, "to").select("node", "component"), "components")
+    for old in (*chosen, label):
+        dropped(spark, old)
+    release(spark)
+    return out

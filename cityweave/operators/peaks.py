@@ -9,7 +9,7 @@ from cityweave.operators.iterate import kept
 from cityweave.operators.spatial import focal_max, within
 
 
-def find_peaks(cells: DataFrame, least: float, spacing: float, rounds: int = 100) -> DataFrame:
+def find_peaks(cells: DataFrame, least: float, spacing: float) -> DataFrame:
     """Peaks (row, col, z) at least so high and so far apart, higher ones first, then smaller row and column.
 
     Candidates are cells as high as all within one and a half cells; of a flat top the first cell in order stays by the
@@ -21,7 +21,7 @@ def find_peaks(cells: DataFrame, least: float, spacing: float, rounds: int = 100
     near = within(c.select("id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")), c.select("id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")), spacing)
     near = kept(near.where("id <> other and dist < " + repr(float(spacing))).select("id", "other"))
     left, out = c.select("id"), None
-    for _ in range(rounds):
+    while True:  # the first candidate left is taken in every round
         blocked = near.join(left, "id", "left_semi").join(left.withColumnRenamed("id", "other"), "other", "left_semi").where("other < id").select("id").distinct()
         took = kept(left.join(blocked, "id", "left_anti"))
         if took.isEmpty():

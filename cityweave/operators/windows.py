@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +14,14 @@ def best_per(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) ->
 
 
 def rank_quantile(df: DataFrame, keys: list[str], value: str, q: float, upper: bool = False) -> DataFrame:
-    """An observed value at a rank: the lower neighbour of the quantile's place, or the upper one."""
+    """An observed value at a rank: the lower neighbour of the quantile's place, or the upper one. Ranks run over counts of
+    equal values, so a key brings its distinct values together, not its rows."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
-    place = q * (F.count("*").over(w) - 1)
-    at = (F.ceil(place) if upper else F.floor(place)) + 1
-    r = df.where(F.col(value).isNotNull()).withColumns({"_at": at, "_r": F.row_number().over(w.orderBy(value))})
-    return r.where("_r = _at").select(*keys, F.col(value).alias("value"))
+    place = q * (F.sum("_n").over(w) - 1)
+    last = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    r = c.withColumns({"_at": F.ceil(place) if upper else F.floor(place), "_last": last})
+    return r.where((F.col("_at") < F.col("_last")) & (F.col("_at") >= F.col("_last") - F.col("_n"))).select(*keys, F.col(value).alias("value"))
 
 
 def shares(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -33,19 +35,22 @@ def shares(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def admit_whole(groups: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """Rows admitted in order within each key's budget, whole or not at all; a later smaller one may still fit.
 
-    Order-dependent, so each key's (order, size) pairs run through one pass; only these two columns go there."""
-    schema = f"`{key}` {dict(groups.dtypes)[key]}, `{order}` {dict(groups.dtypes)[order]}"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left, kept = budget, []
-        for i, n in frame.sort_values(order)[[order, size]].itertuples(index=False):
-            if n <= left:
-                left -= n
-                kept.append(i)
-        return pd.DataFrame({key: frame[key].iloc[:1].repeat(len(kept)).to_numpy(), order: kept})
-
-    kept = groups.select(key, order, size).groupBy(key).applyInPandas(run, schema)
-    return groups.join(kept, [key, order], "left_semi")
+    Order-dependent, so keys are sorted within their partitions and stream through one pass that carries the budget from row
+    to row; no key is held in memory. Rows without a key or size are not admitted."""
+    at_key, at_size = groups.columns.index(key), groups.columns.index(size)
+
+    def run(batches):
+        last, left = None, budget
+        for batch in batches:
+            fits = []
+            for k, n in zip(batch.column(at_key).to_pylist(), batch.column(at_size).to_pylist()):
+                last, left = k, budget if k != last else left
+                fits.append(n <= left)
+                left -= n if n <= left else 0
+            yield batch.filter(pa.array(fits, pa.bool_()))
+
+    some = groups.where(F.col(key).isNotNull() & F.col(size).isNotNull())
+    return some.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, groups.schema)
 
 
 def batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:

@@ -66,7 +66,7 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every table whose order-free digest equals that of the same rows dealt anew."""
+    """Rows of four tables whose order-free digest equals that of the same rows dealt anew."""
     made = []
     for name in ("nation", "region", "supplier", "customer"):
         t = _t(spark, sf_dir, name)

@@ -44,10 +44,10 @@ def conservative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names against types: names whose word is in a type's words after swapping sides by brand."""
+    """Distinct part names against the names and types of all parts."""
     p = _t(spark, sf_dir, "part")
-    a = p.where("p_partkey < 50").select(F.col("p_partkey").alias("id"), fn.tokens("p_name").alias("words"))
-    b = p.where("p_partkey >= 50").select(F.col("p_partkey").alias("id"), F.array_union(fn.tokens("p_name"), fn.tokens("p_type")).alias("words"))
+    a = p.groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", fn.tokens("p_name").alias("words"))
+    b = p.select(F.col("p_partkey").alias("id"), F.array_union(fn.tokens("p_name"), fn.tokens("p_type")).alias("words"))
     return matching.contained_tokens(a, b)
 
 
@@ -114,7 +114,7 @@ ORACLES = {
     "question_by_sector": "select n_name as sector, count(*) as n, round(avg(c_acctbal), 6) as mean from customer join nation on c_nationkey = n_nationkey where lower(c_mktsegment) in ('furniture', 'machinery') group by 1",
     "match_conservative": """with s as (select l_partkey % 300 as a, l_suppkey % 97 as b, sum(l_quantity) as score from lineitem group by 1, 2), r as (select *, row_number() over w as r, lead(score) over w as nxt from s window w as (partition by a order by score desc, b)),
  c as (select * from r where r = 1 and (nxt is null or score - nxt >= 5)) select a, b, score from c where b in (select b from c group by b having count(*) = 1)""",
-    "match_contained_tokens": f"with a as (select p_partkey as id, {WORDS.format(c='p_name')} as w from part where p_partkey < 50), b as (select p_partkey as other, list_concat({WORDS.format(c='p_name')}, {WORDS.format(c='p_type')}) as w from part where p_partkey >= 50) select id, other from a join b on list_has_all(b.w, a.w) where len(a.w) > 0",
+    "match_contained_tokens": f"with a as (select p_partkey as id, {WORDS.format(c='p_name')} as w from (select p_name, min(p_partkey) as p_partkey from part group by 1)), b as (select p_partkey as other, list_concat({WORDS.format(c='p_name')}, {WORDS.format(c='p_type')}) as w from part) select id, other from a join b on list_has_all(b.w, a.w) where len(a.w) > 0",
     "match_quantised": f"with {P}, q as (select id, round_even(x, 0) as x, round_even(y, 0) as y from p) select x, y, count(*) as n from q where id % 2 = 0 and (x, y) in (select (x, y) from q where id % 2 = 1) group by 1, 2",
     "stats_bin_medians": """with b as (select case when p_size >= 51 then 6 when p_size >= 45 then 5 when p_size >= 30 then 4 when p_size >= 20 then 3 when p_size >= 10 then 2 when p_size >= 5 then 1 else 0 end as bin, p_retailprice as v from part),
  n as (select bin, count(*) as n, quantile_cont(v, 0.5) as m from b group by 1), w as (select quantile_cont(v, 0.5) as m from b) select cast(r.range as int) as bin, coalesce(n.n, 0) as n, round(case when n.n >= 5 then n.m else w.m end, 6) as median from range(7) r left join n on n.bin = r.range, w""",

@@ -239,12 +239,12 @@ def street_features(features: DataFrame, roads: DataFrame, districts: DataFrame,
 
 
 def row_trees(samples: DataFrame, trees: DataFrame, gap: float) -> DataFrame:
-    """(id, k, x, y) of tree-row samples (id, k, x, y), each row thinned by spaced() before, that keep `gap` from every
-    mapped tree (id, x, y) and from kept samples of rows with a smaller id."""
+    """(id, k, x, y) of tree-row samples (id, k, x, y) that are further than `gap` from every mapped tree (id, x, y) and from
+    every sample kept before them in order of id and k."""
     key = F.struct("id", "k")
     s = samples.select(key.alias("id"), "x", "y")
     free = s.join(within(s, trees, gap).select("id").distinct(), "id", "left_anti")
-    pairs = within(free, free, gap).where("id.id > other.id")
+    pairs = within(free, free, gap).where("id > other")
     # A sample falls only to one that stays itself: those that nothing smaller touches stay, what they touch goes, and so on.
     pairs, left, stay = kept(pairs), kept(free.select("id")), None
     while True:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityweave.llm.common import columns_of, hash_sample, new_path, partitions_for, staged
+from cityweave.llm.common import columns_of, hash_sample, hot_keys, new_path, partitions_for, spread_join, staged
 
 MIN_BYTES = 100
 SKIPPABLE = 0x184D2A5D
@@ -41,7 +41,8 @@ NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 
 def classified(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = MIN_BYTES) -> DataFrame:
-    """(key, url, payload, digest, size, refers_to): refers_to is the response's key for revisits, else null."""
+    """(key, url, payload, digest, size, refers_to): refers_to is the response's key for revisits, else null. Pages of a payload
+    that holds a large share of all rows are dealt over several tasks."""
     pages = columns_of(pages, key, url, payload)
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(
@@ -51,7 +52,9 @@ def classified(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     several = (
         rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     )
-    joined = rows.join(several.select("digest", "least"), "digest", "left")
+    several = staged(several, "warc-repeated")
+    hot = staged(hot_keys(several, ["digest"], "n", rows.count()), "warc-hot")
+    joined = spread_join(rows, several.select("digest", "least"), ["digest"], hot, "left")
     refers = F.when(F.col("least").isNotNull() & ~F.col("id").eqNullSafe(F.col("least")), F.col("least"))
     return joined.select("id", "url", "body", "digest", "size", refers.alias("refers_to"))
 

@@ -1,8 +1,9 @@
 """Operator 3: cross-site boilerplate lines, by distinct-site spread.
 
-Lines are hashed once into a narrow table (two 64-bit hashes and the site). A first aggregate drops lines seen fewer
-times than the threshold or on one site only; it is pre-aggregated before its shuffle, so a line that stands in a third
-of all documents costs one row per task. For the lines left, HyperLogLog sketches of the sites merge by aggregation.
+Lines are hashed once into a narrow table (two 64-bit hashes, the site and a count), a row for each line and site; it is
+pre-aggregated before its shuffle, so a line that stands in a third of all documents costs one row a task and site. An
+aggregate of it drops lines seen fewer times than the threshold or on one site only. For the lines left, HyperLogLog
+sketches of the sites merge by aggregation; a line on a large share of all (line, site) rows is dealt over tasks.
 Lines whose estimate lies within the sketch's error of the threshold get an exact distinct count. Lines at or over the
 threshold go from every document.
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cityweave.llm.common import columns_of, staged
+from cityweave.llm.common import columns_of, hot_keys, spread_join, staged
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -40,22 +41,23 @@ def site_spread(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     """(h1, h2) of the lines that stand on at least min_sites distinct sites."""
     docs = columns_of(docs, text, site).toDF("text", "site")
     lines = docs.select("site", F.explode(F.split("text", "\n")).alias("line")).select("site", F.trim("line").alias("line"))
-    seen = staged(lines.where("line <> '' and site is not null").select(*_hashes(F.col("line")), "site"), "lines")
+    seen = lines.where("line <> '' and site is not null").select(*_hashes(F.col("line")), "site")
+    seen = staged(seen.groupBy("h1", "h2", "site").agg(F.count("*").alias("n")), "lines")
     often = (
         seen.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
+        .agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("site").alias("lo"), F.max("site").alias("hi"))
         .where((F.col("n") >= min_sites) & (F.lit(min_sites <= 1) | (F.col("lo") != F.col("hi"))))
-        .select("h1", "h2")
+        .select("h1", "h2", "rows")
     )
-    some = seen.join(often, ["h1", "h2"], "left_semi")
+    often = staged(often, "lines-often")
+    hot = staged(hot_keys(often, ["h1", "h2"], "rows", seen.count()), "lines-hot")
+    some = spread_join(seen, often.select("h1", "h2"), ["h1", "h2"], hot, "left_semi")
     sketch = some.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     sketch = staged(sketch.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")), "line-sites")
     margin = max(1.0, 3 * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = sketch.where(F.abs(F.col("sites") - min_sites) <= margin).select("h1", "h2")
     exact = (
-        seen.join(near, ["h1", "h2"], "left_semi")
-        .groupBy("h1", "h2", "site")
-        .agg(F.lit(1).alias("one"))
+        spread_join(seen, near, ["h1", "h2"], hot, "left_semi")
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("sites"))
         .where(F.col("sites") >= min_sites)

@@ -127,3 +127,26 @@ def gate(scores: dict[str, dict[str, float]], candidate: str) -> str:
         if mine["macro_f1"] > max(s["macro_f1"] for s in others.values()) and mine["brier"] < min(s["brier"] for s in others.values()):
             return candidate
     return min(others, key=lambda n: (-others[n]["macro_f1"], others[n]["brier"]))
+
+
+def snapshot(objects: DataFrame, morphology: DataFrame, year: int) -> DataFrame:
+    """The present state of objects (object_id, state, area, shape_area, permit_year, completed_year) as of a year.
+
+    Area is the stated one where it is a number from zero up, else that of the shape; years count only where they are not
+    after the snapshot's; morphology (object_id, ...) is attached whenever there is one. `sources` names where the area,
+    the state and the morphology come from."""
+    good = lambda c: F.when((F.col(c) >= 0) & ~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
+    seen = lambda c: F.when(F.col(c).between(0, year), F.lit(year) - F.col(c))
+    extra = [c for c in morphology.columns if c != "object_id"]
+    j = objects.join(morphology.withColumn("_has", F.lit(True)), "object_id", "left")
+    has = F.col("_has").isNotNull()
+    sources = F.array(
+        F.when(good("area").isNotNull(), "area:stated").otherwise("area:shape"), F.when(F.col("state").isNotNull(), "state:table").otherwise("state:unknown"),
+        F.when(has, "morphology:points"),
+    )
+    return j.select(
+        "object_id", F.coalesce("state", F.lit("unknown")).alias("state"), F.coalesce(good("area"), F.greatest(F.col("shape_area"), F.lit(0.0))).alias("area"),
+        seen("permit_year").isNotNull().alias("permit_known"), seen("completed_year").isNotNull().alias("completion_known"),
+        seen("permit_year").alias("years_since_permit"), seen("completed_year").alias("years_since_completion"), has.alias("lidar_available"), *extra,
+        F.array_compact(sources).alias("sources"),
+    )

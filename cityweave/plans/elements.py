@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityweave.functions import columns as fn
 from cityweave.operators import elements as op
 from cityweave.operators import panel as panels
+from cityweave.operators import rings
 from cityweave.plans import panel
+from cityweave.plans.spatial import points
 
 #: Values of the tags, taken in turn by a number of the row; '' stands for no tag.
 TURNS = {
@@ -159,6 +162,31 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _starts(spark, sf_dir)[1]
 
 
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as buildings, suppliers' balances as their morphology."""
+    p, n = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    o = p.select(
+        n.alias("object_id"), F.when(n % 4 > 0, F.lower("p_type")).alias("state"), F.when(n % 3 > 0, F.col("p_size") - 10.0).alias("area"), (F.col("p_retailprice") / 10).alias("shape_area"),
+        (2018 + F.col("p_size") % 9).alias("permit_year"), F.when(n % 5 > 0, (2019 + n % 9).cast("int")).alias("completed_year"))
+    m = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("object_id"), F.col("s_acctbal").alias("lidar_height"))
+    out = panels.snapshot(o, m, 2023)
+    return out.withColumns({"area": F.round("area", 4), "sources": F.array_join("sources", ",")})
+
+
+def multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of two half lines, the second drawn backwards, with a square hole; every third lacks a half."""
+    p = points(spark, sf_dir).where("id % 10 = 0")
+    half = 0.4 + (F.col("id") % 7) * 0.01
+    at = lambda h, *ij: F.array(*(F.struct((F.col("x") + i * h).alias("x"), (F.col("y") + j * h).alias("y")) for i, j in ij))
+    part = lambda k, role, pts: F.struct(F.lit(k).alias("seq"), F.lit(role).alias("role"), pts.alias("points"))
+    first, second = at(half, (-1, -1), (1, -1), (1, 1)), at(half, (-1, -1), (-1, 1), (1, 1))
+    hole = at(F.lit(0.05), (-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))
+    every = F.array(part(0, "outer", first), part(1, None, second), part(2, "inner", hole), part(3, "label", F.lit(None)))
+    some = F.when(F.col("id") % 30 == 0, F.filter(every, lambda m: m["seq"] != 1)).otherwise(every)
+    members = p.select(F.col("id").alias("relation"), F.explode(some).alias("m")).select("relation", "m.*")
+    return rings.multipolygons(members).select("relation", "polygon", "hole", F.round(fn.ring_area(F.col("ring")), 5).alias("area"))
+
+
 def _case(key: str, table: dict) -> str:
     return f"case {key} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " end"
 
@@ -190,6 +218,7 @@ QUERIES = {
     "elements_greenery": greenery, "elements_heights": heights, "elements_walk_layers": layers, "elements_categories": categories, "elements_painted_crossings": painted,
     "places_allowlisted": places, "places_providers": providers, "reviews_admitted": reviews, "roof_colours": roofs, "forecast_on_snapshot": forecast_on,
     "references_status": status, "places_enriched": enriched, "panel_transitions_ordered": transitions, "starts_best": starts, "starts_excluded": excluded,
+    "panel_snapshot": snapshot, "rings_multipolygons": multipolygons,
 }
 ORACLES = {
     "elements_greenery": f"with {T}, {VEG} select type || '/' || id as id, kind from v where kind is not null or genus is not null",
@@ -231,4 +260,12 @@ ORACLES = {
     "panel_transitions_ordered": f"with {WAVES} select c as current_state, t as target_state, count(*) as n from pan group by 1, 2",
     "starts_best": f"with {_ST} select area, id, width, length from c where reason is null qualify row_number() over (partition by area order by width desc, length desc, id) = 1",
     "starts_excluded": f"with {_ST} select area, reason, count(*) as n from c where reason is not null group by 1, 2",
+    "panel_snapshot": """with o as (select p_partkey as object_id, case when p_partkey % 4 > 0 then lower(p_type) end as state, case when p_partkey % 3 > 0 and p_size >= 10 then p_size - 10.0 end::double as area, p_retailprice / 10 as shape,
+ 2018 + p_size % 9 as py, case when p_partkey % 5 > 0 then cast(2019 + p_partkey % 9 as int) end as cy from part)
+ select object_id, coalesce(state, 'unknown') as state, round(coalesce(area, shape), 4) as area, py <= 2023 as permit_known, coalesce(cy <= 2023, false) as completion_known, case when py <= 2023 then 2023 - py end as years_since_permit,
+ case when cy <= 2023 then 2023 - cy end as years_since_completion, s_suppkey is not null as lidar_available, s_acctbal as lidar_height,
+ case when area is null then 'area:shape' else 'area:stated' end || case when state is null then ',state:unknown' else ',state:table' end || case when s_suppkey is null then '' else ',morphology:points' end as sources
+ from o left join supplier on s_suppkey * 3 = object_id""",
+    "rings_multipolygons": """select vec_id as relation, 0::int as polygon, h as hole, round(case when h then 0.01 else 4 * (0.4::double + vec_id % 7 * 0.01::double) ** 2 end, 5) as area
+ from embeddings, (values (false), (true)) t(h) where vec_id % 10 = 0 and vec_id % 30 <> 0""",
 }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cityweave.functions import tables
-from cityweave.operators import learned, lines
+from cityweave.operators import learned, lines, rings
 from cityweave.sources import store
 
 XY = "array<struct<x: double, y: double>>"
@@ -128,3 +128,22 @@ def test_units_of_a_line_are_its_own():
     got = list(tables.LineUnits().eval([{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 4.0}], 2))
     assert got == [(0, 0.0, 0.0, 1.5, 2.0), (1, 1.5, 2.0, 3.0, 4.0)]
     assert list(tables.BoxTiles().eval(0.1, 0.1, 1.1, 0.2, 1.0)) == [(0, 0), (1, 0)]
+
+
+def test_rings_close_in_one_way_only():
+    a, b, c, d = (0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)
+    assert rings.closed_rings([[a, b, c], [a, d, c]]) == [[a, b, c, d, a]]
+    assert rings.closed_rings([[a, b], [b, c]]) is None
+    assert rings.closed_rings([[a, b], [b, c], [b, d], [c, a]]) is None
+    assert rings.closed_rings([[a, b], [b, a]]) is None
+    assert rings.closed_rings([]) == []
+
+
+def test_holes_belong_to_the_smallest_ring_around(spark):
+    box = lambda x, y, h: [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]
+    rows = [(1, 0, "outer", box(0.0, 0.0, 9.0)), (1, 1, "", box(0.0, 0.0, 3.0)), (1, 2, "inner", box(0.0, 0.0, 1.0)), (2, 0, "outer", box(0.0, 0.0, 1.0)), (2, 1, "inner", box(5.0, 5.0, 1.0)),
+            (3, 0, "inner", box(0.0, 0.0, 1.0)), (4, 0, "outer", None), (5, 0, None, box(0.0, 0.0, 1.0)), (5, 1, "label", None)]
+    df = spark.createDataFrame(rows, f"relation long, seq int, role string, points {XY}")
+    got = sorted((r.relation, r.polygon, r.hole) for r in rings.multipolygons(df).collect())
+    assert got == [(1, 0, False), (1, 1, False), (1, 1, True), (5, 0, False)]
+    assert rings.multipolygons(df.limit(0)).count() == 0

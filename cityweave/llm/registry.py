@@ -15,6 +15,7 @@ MODULES = (
     "simhash",
     "maxscore",
     "bpe",
+    "weighted_sampling",
 )
 
 

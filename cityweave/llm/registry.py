@@ -16,6 +16,7 @@ MODULES = (
     "maxscore",
     "bpe",
     "weighted_sampling",
+    "whitening",
 )
 
 

@@ -17,6 +17,7 @@ MODULES = (
     "bpe",
     "weighted_sampling",
     "whitening",
+    "dual_tree",
 )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cityweave.llm.common import columns_of, hot_keys, spread_join, staged
+from cityweave.llm.common import columns_of, hot_keys, numbered, spread_join, staged
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -125,11 +125,12 @@ def remove_boilerplate(
 ) -> DataFrame:
     """docs with their boilerplate lines taken out of the text; with report also n_lines and n_removed."""
     spread = site_spread(docs, min_sites, text, site)
-    fields = [T.StructField(text, T.StringType()) if f.name == text else f for f in docs.schema.fields]
-    if report:
-        fields += [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
+    plain, at = numbered(docs)
+    fields = [T.StructField(f.name, T.StringType()) if f.name == at[text] else f for f in plain.schema.fields]
+    more = ["n_lines", "n_removed"] if report else []
+    fields += [T.StructField(f"_{name}", T.LongType()) for name in more]
     strip = _strip_by_broadcast if spread.count() <= broadcast_lines else _strip_by_join
-    return strip(docs, spread, text, T.StructType(fields), report)
+    return strip(plain, spread, at[text], T.StructType(fields), report).toDF(*docs.columns, *more)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operator 6: a counterfactually regularised toxicity classifier.
 
 A logistic model over the presence of words and of word beginnings in a whole text. It is fitted on a bounded sample of
-labelled rows (FIT_TOXIC and FIT_CLEAN rows by the hash of their id). For every labelled text of the sample that names
+labelled rows: at most FIT_TOXIC and FIT_CLEAN ids by their hash, and of their different rows again so many by the hash of
+id and text, however many rows an id has. For every labelled text of the sample that names
 a group of people, versions are made in which the identity terms are swapped for others of the same kind; the fit adds
 the squared difference of the scores' logits to its loss, so a mention by itself moves no score. Scoring runs over all
 documents in one pass without a shuffle; the model is broadcast and holds at most MAX_FEATURES features.
@@ -10,8 +11,10 @@ Features enter by evidence: at least MIN_DOCS toxic texts have them, at LEAST_RA
 likelihood ratio first. So a long clean text does not add up many weak hints.
 
 Defined cases: a null or wordless text gets the score of no evidence; rows without a label, or with a null one, are not
-fitted on; several labels of one id count as toxic if one is; without labels of both kinds every score is the share of
-toxic labels (0 without any); null ids are scored and count as not held out; equal rows get equal scores.
+fitted on; several labels of one id count as toxic if one is, and equal rows count once in the fit; without labels of both
+kinds, or where no feature tells them apart, every score is the share of toxic labels, but one half at most, so that nothing
+is held to be toxic without evidence (0 without any label); null ids are scored and count as not held out; equal rows get
+equal scores.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cityweave.llm.common import columns_of, staged
+from cityweave.llm.common import columns_of, hash_sample, numbered, staged
 
 #: The bound of the fit's sample.
 FIT_TOXIC, FIT_CLEAN = 2_000, 4_000
@@ -78,13 +81,19 @@ def held_out(key: str) -> F.Column:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, n_toxic: int, n_clean: int) -> DataFrame:
-    """(text, toxic) of the bounded sample of labelled rows that are not held out."""
+    """(text, toxic) of the bounded sample of labelled rows that are not held out: n_toxic and n_clean rows at most."""
     known = columns_of(labels, key, label).toDF("key", "toxic").where("key is not null and toxic is not null")
     known = known.where(~held_out("key")).groupBy("key").agg(F.max("toxic").alias("toxic"))
     pick = lambda on, n: known.where(F.col("toxic") == on).orderBy(F.xxhash64("key"), "key").limit(n)
     some = staged(pick(1, n_toxic).unionAll(pick(0, n_clean)), "labels")
-    rows = columns_of(docs, key, text).toDF("key", "text").join(F.broadcast(some), "key")
-    return staged(rows.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"), "toxic"), "fit-rows")
+    rows = columns_of(docs, key, text).toDF("key", "text").select("key", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", "text")})
+    names = staged(rows.join(F.broadcast(some), "key").select("key", "toxic", "h1", "h2").distinct(), "fit-names")
+    size = {r.toxic: r["count"] for r in names.groupBy("toxic").count().collect()}
+    least = lambda on, n: hash_sample(names.where(F.col("toxic") == on), n, size.get(on, 0), "key", "h1", "h2")
+    chosen = staged(least(1, n_toxic).unionAll(least(0, n_clean)), "fit-chosen")
+    rows = rows.join(F.broadcast(chosen), ["key", "h1", "h2"]).dropDuplicates(["key", "h1", "h2"])
+    return staged(rows.select("text", "toxic"), "fit-rows")
 
 
 def selected(sample: DataFrame) -> tuple[list[str], int, int]:
@@ -167,7 +176,7 @@ def fit(
     sample = sample_of(docs, labels, key, text, label, n_toxic, n_clean)
     names, n1, n0 = selected(sample)
     if not names:
-        share = n1 / max(1, n1 + n0)
+        share = min(n1 / max(1, n1 + n0), 0.5)
         return Model([], np.zeros(0), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
     blank = Model(names, np.zeros(len(names)), 0.0)
 
@@ -192,8 +201,9 @@ def fit(
 
 def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with one more column, the score of the whole text from 0 to 1."""
-    held, place, name = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), column
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    plain, _ = numbered(docs)
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         own = held.value
@@ -201,7 +211,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "sco
             made = [own.score(t.as_py()) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, column)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,14 @@ def test_query_against_sql(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_dedup.remove_boilerplate(docs).collect() == []
+
+
+def test_null_source_counts_for_none_and_clashing_columns(spark):
+    rows = [(i, "common line\nown line %d" % i, f"s{i}" if i < 9 else None, 1, 2) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, TEXT int, `a.b` int")
+    for most in (200_000, 0):
+        kept = line_dedup.remove_boilerplate(docs, broadcast_lines=most, report=True)
+        assert kept.columns == [*docs.columns, "n_lines", "n_removed"]
+        assert {r[6] for r in kept.collect()} == {0}
+        gone = line_dedup.remove_boilerplate(docs, min_sites=9, broadcast_lines=most, report=True)
+        assert {r[6] for r in gone.collect()} == {1}

@@ -118,18 +118,19 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = rows.select(*ids, "key", "text")
     counted = rows.groupBy(*KEY, "key", F.char_length("text").alias("n")).agg(F.count("*").alias("copies"))
     counted = staged(counted, "documents")
-    chained = counted.join(followers(counted), KEY).select("*", F.lit(False).alias("own"), F.lit(1).cast("long").alias("times"))
-    to_itself = [F.col(c).alias(f"next_{c}") for c in KEY]
-    repeated = counted.where("copies > 1").select("*", *to_itself, F.lit(True).alias("own"), (F.col("copies") - 1).alias("times"))
-    jobs = staged(chained.unionByName(repeated), "pairs")
+    jobs = staged(counted.join(followers(counted), KEY), "pairs")
     half = F.floor(F.col("n") / 2).cast("int")
     once = rows.select(*KEY, "text").dropDuplicates(KEY)
-    asked = jobs.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"to_{c}") for c in KEY), "own", half.alias("half"))
-    given = once.join(asked, KEY)
-    given = given.select(*(F.col(f"to_{c}").alias(c) for c in KEY), F.col("own").alias("_own"), F.substring("text", F.lit(1), F.col("half")).alias("given"))
-    mine = once.join(jobs.select(*KEY, "own", "n"), KEY)
-    both = mine.join(given, KEY).where("own = _own")
-    both = both.select(*KEY, "own", "text", F.concat(F.substring("text", F.lit(1), F.col("n") - half), "given").alias("edited"))
+    asked = jobs.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"to_{c}") for c in KEY), half.alias("half"))
+    begun = lambda size: F.substring("text", F.lit(1), size)
+    given = once.join(asked, KEY).select(*(F.col(f"to_{c}").alias(c) for c in KEY), begun(F.col("half")).alias("given"))
+    both = once.join(jobs, KEY).join(given, KEY)
+    linked = [*(f"next_{c}" for c in KEY), "key", "n", "copies"]
+    # all copies of a row but the last are followed by their own text
+    version = lambda own, head: F.struct(F.lit(own).alias("own"), F.concat(begun(F.col("n") - half), head).alias("edited"))
+    last, earlier = version(False, F.col("given")), version(True, begun(half))
+    versions = F.when(F.col("copies") > 1, F.array(last, earlier)).otherwise(F.array(last))
+    both = both.select(*KEY, *linked, "text", F.explode(versions).alias("v")).select(*KEY, "v.own", *linked, "text", "v.edited")
     by = [*KEY, "own"]
     one = lambda side, column: F.struct(F.lit(side == "text").cast("int").alias("a"), F.lit(side != "text").cast("int").alias("b"), F.col(column).alias("text"))
     sides = both.select(*by, F.explode(F.array(one("text", "text"), one("edited", "edited"))).alias("side"))
@@ -138,14 +139,17 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     terms = terms.select(*by, F.xxhash64("term").alias("term"), (F.col("a") * told).alias("a"), (F.col("b") * told).alias("b"))
     terms = terms.groupBy(*by, "term").agg(F.sum("a").alias("n_text"), F.sum("b").alias("n_edited"))
     made = weighted_signatures(terms, by, {"fingerprint": "n_text", "edited_fingerprint": "n_edited"}, samples)
-    made = staged(made.join(both.select(*by, F.sha2("edited", 256).alias("sha")), by), "fingerprints")
+    told_of = both.select(*by, *linked, F.unhex(F.sha2("edited", 256)).alias("sha"))
+    made = staged(made.join(told_of, by), "fingerprints")
     theirs = made.where("not own").select(*(F.col(c).alias(f"next_{c}") for c in KEY), F.col("fingerprint").alias("next_fingerprint"))
-    out = made.join(jobs, by).join(theirs, [f"next_{c}" for c in KEY])
-    out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    own = F.when(F.col("own"), F.col("fingerprint")).otherwise(F.col("next_fingerprint"))
+    out = made.join(theirs, [f"next_{c}" for c in KEY]).withColumn("next_fingerprint", own)
+    times = F.when(F.col("own"), F.col("copies") - 1).otherwise(F.lit(1))
+    out = out.withColumn("_", F.explode(F.sequence(F.lit(1), times.cast("int"))))
     return out.select(
         F.col("key").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
-        F.col("sha").alias("edited_sha256"),
+        F.lower(F.hex("sha")).alias("edited_sha256"),
         as_text("fingerprint").alias("fingerprint"),
         as_text("edited_fingerprint").alias("edited_fingerprint"),
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),

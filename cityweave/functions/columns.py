@@ -82,6 +82,12 @@ def unit_hash(*parts: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(F.xxhash64(*parts), 11), F.lit(1 << 53)) / float(1 << 53)
 
 
+def digest_draw(*parts: Column) -> Column:
+    """A draw in [0, 1) from the SHA-256 of its parts, joined by colons; other engines get the same one."""
+    text = F.concat_ws(":", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def utm_to_lonlat(x: Column, y: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
     """Longitude and latitude of UTM coordinates on the WGS 84 ellipsoid, by the inverse Krüger series to third order."""
     a, f = 6378137.0, 1 / 298.257223563

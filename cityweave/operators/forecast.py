@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityweave.functions.columns import pick, unit_hash
@@ -58,6 +60,45 @@ def rollout(objects: DataFrame, matrix: DataFrame, labels: list[str], steps: int
     return out
 
 
+def paired_rollout(
+    objects: DataFrame, matrix: DataFrame, labels: list[str], steps: int, draws: int, levers: DataFrame,
+    seed: int = 7, drawn: Callable[..., Column] = unit_hash,
+) -> DataFrame:
+    """(draw, step, object_id, state, usual): every object's state with the levers and without, after each step of each draw.
+
+    Both are carried in one row and read the same draw, so they differ only where a lever, or what followed from it, makes
+    them differ. levers: (object_id, step, target_state, delta), one a step and object."""
+    order = F.array(*map(F.lit, labels))
+    rows = matrix.groupBy("current_state").agg(F.map_from_entries(F.collect_list(F.struct("target_state", "p"))).alias("m"))
+    chances = F.transform(order, lambda x: F.coalesce(F.element_at("m", x), F.lit(0.0)))
+    rows = rows.select(F.col("current_state").alias("state"), chances.alias("p"))  # a row for each label
+    now = objects.select("object_id", "state", F.col("state").alias("usual"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    out = None
+    for step in range(1, steps + 1):
+        mine = levers.where(F.col("step") == step).select("object_id", F.col("target_state").alias("_to"), F.exp("delta").alias("_by"))
+        now = now.join(F.broadcast(rows), "state", "left").join(F.broadcast(rows.toDF("usual", "q")), "usual", "left").join(mine, "object_id", "left")
+        raised = F.transform("p", lambda v, i: F.greatest(v, F.lit(1e-12)) * F.when(F.element_at(order, i + 1) == F.col("_to"), F.col("_by")).otherwise(1.0))
+        now = now.withColumn("_r", raised).withColumn("_s", F.aggregate("_r", F.lit(0.0), lambda a, v: a + v))
+        pushed = F.when(F.col("_to").isNull(), F.col("p")).otherwise(F.transform("_r", lambda v: v / F.col("_s")))
+        u = drawn(F.lit(seed), F.lit(step), F.col("draw"), F.col("object_id"))
+        after = lambda p, old: F.coalesce(F.element_at(order, pick(p, F.col("_u")) + 1), F.col(old)).alias(old)
+        now = now.withColumns({"p": pushed, "_u": u}).select("object_id", "draw", after(F.col("p"), "state"), after(F.col("q"), "usual"))
+        part = now.withColumn("step", F.lit(step))
+        out = part if out is None else out.unionByName(part)
+    return out.select("draw", "step", "object_id", "state", "usual")
+
+
+def paired_bands(pairs: DataFrame, by: list[str], values: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, kpi, p05, p50, p95, usual_p50, higher) of the differences over draws: each value is an aggregate of a column of
+    states, taken for both; `higher` is the share of draws in which the levers raise it."""
+    both = [f(F.col(c)).cast("double").alias(f"{n}_{c}") for n, f in values.items() for c in ("state", "usual")]
+    per = pairs.groupBy(*by, "draw").agg(*both)
+    one = lambda n: F.struct(F.lit(n).alias("kpi"), (F.col(f"{n}_state") - F.col(f"{n}_usual")).alias("d"), F.col(f"{n}_usual").alias("u"))
+    long = per.select(*by, F.explode(F.array(*map(one, values))).alias("v")).select(*by, "v.*")
+    bands_of = [F.percentile("d", q).alias(p) for p, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))]
+    return long.groupBy(*by, "kpi").agg(*bands_of, F.percentile("u", 0.5).alias("usual_p50"), F.avg((F.col("d") > 0).cast("int")).alias("higher"))
+
+
 def bands(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """p05, p50 and p95 over draws."""
     return values.groupBy(*by).agg(*(F.percentile(value, q).alias(n) for q, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityweave.operators.windows import with_previous
+
+#: Frames that are ordered in one task.
+FRAMES = 4096
+
 
 def timed(samples: DataFrame) -> DataFrame:
     """Adds dt, seconds since the run's previous distinct time; none for the first time, which adds nothing."""
-    times = samples.select("run", "ts").distinct()
-    w = Window.partitionBy("run").orderBy("ts")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) / 1e6
-    return samples.join(times.withColumn("dt", gap), ["run", "ts"]).where("dt > 0")
+    times = with_previous(samples.select("run", "ts").distinct(), ["run"], "ts", F.date_trunc("HOUR", "ts"), "_before")
+    gap = F.timestamp_diff("MICROSECOND", F.col("_before"), F.col("ts")) / 1e6
+    return samples.join(times.select("run", "ts", gap.alias("dt")), ["run", "ts"]).where("dt > 0")
 
 
 def exhaust(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -42,9 +46,9 @@ def paired_delay(arrivals: DataFrame) -> DataFrame:
 
 def trajectory_steps(samples: DataFrame) -> DataFrame:
     """One row from (frame, vehicle, x): samples, vehicles, pairs in consecutive frames, those that moved, largest step."""
-    frames = samples.select("frame").distinct().withColumn("i", F.dense_rank().over(Window.orderBy("frame")))
-    w = Window.partitionBy("vehicle").orderBy("i")
-    s = samples.join(frames, "frame").withColumns({"_i": F.lag("i").over(w), "_x": F.lag("x").over(w)})
-    next_to = F.coalesce(F.col("_i") == F.col("i") - 1, F.lit(False))
+    frames = with_previous(samples.select("frame", F.lit(0).alias("_all")).distinct(), ["_all"], "frame", F.floor(F.col("frame") / FRAMES), "_before").drop("_all")
+    w = Window.partitionBy("vehicle").orderBy("frame")
+    s = samples.join(frames, "frame").withColumns({"_f": F.lag("frame").over(w), "_x": F.lag("x").over(w)})
+    next_to = F.coalesce(F.col("_f") == F.col("_before"), F.lit(False))
     step = F.when(next_to, F.abs(F.col("x") - F.col("_x")))
     return s.agg(F.count("*").alias("samples"), F.countDistinct("vehicle").alias("vehicles"), F.count_if(next_to).alias("pairs"), F.count_if(step > 0).alias("moving"), F.max(step).alias("largest"))

@@ -71,3 +71,16 @@ def normal_equations(df: DataFrame, x: list[str], y: str) -> DataFrame:
     """One row of the sums that a plane fit of y on x with a constant needs."""
     names = [*x, y]
     return df.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s_{c}") for c in names), *(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[i:]))
+
+
+def with_previous(distinct: DataFrame, by: list[str], value: str, span: Column, name: str) -> DataFrame:
+    """distinct (by, value) rows with the next smaller value of the same `by`, null for the first.
+
+    Values are ordered within spans (a function of the value that grows with it) and the last of each span is handed on to
+    the next, so a key with most of the rows is split; what is ordered in one task is a span, or one key's list of spans."""
+    d = distinct.withColumn("_span", span)
+    inner = F.lag(value).over(Window.partitionBy(*by, "_span").orderBy(value))
+    ends = d.groupBy(*by, "_span").agg(F.max(value).alias("_last"))
+    ends = ends.withColumn("_handed", F.lag("_last").over(Window.partitionBy(*by).orderBy("_span"))).drop("_last")
+    out = d.withColumn("_inner", inner).join(ends, [*by, "_span"])
+    return out.withColumn(name, F.coalesce("_inner", "_handed")).drop("_inner", "_handed", "_span")

@@ -141,3 +141,15 @@ def test_sight_lines_stop_at_the_first_blocker(spark):
     assert got[7, 2].clear == 0 and got[7, 2].dist is None
     hits = sight.first_hits(spark.createDataFrame([(1, 0.0, 0.0, 20.0, 0.0)], "ray int, x1 double, y1 double, x2 double, y2 double"), walls, 1.0).collect()
     assert [(x.at, x.building) for x in hits] == [(0.25, 1)]
+
+
+def test_previous_value_across_spans(spark):
+    from cityweave.operators.windows import with_previous
+
+    rows = [(k, v) for k in (0, 1) for v in (1, 2, 9, 10, 11, 40, 95)] + [(2, 50)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    got = {(x.k, x.v): x.p for x in with_previous(df, ["k"], "v", F.floor(F.col("v") / 10), "p").collect()}
+    want = {}
+    for k, v in rows:
+        want[k, v] = max((b for a, b in rows if a == k and b < v), default=None)
+    assert got == want

@@ -36,7 +36,7 @@ MAX_FEATURES, MIN_DOCS, LEAST_RATIO = 1_024, 2, 4.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 RIDGE, SWAP_WEIGHT, SWAPS = 0.02, 5.0, 2
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 #: Identity terms by kind; terms of a kind are swapped for each other. A parameter of fit().
 IDENTITY_TERMS = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityweave.functions import tables
+from cityweave.operators import boosting
 from cityweave.operators import learned as op
 from cityweave.operators import panel as panels
 from cityweave.operators.iterate import new_path
@@ -100,6 +101,22 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m["roads"].join(m["profile"], F.col("p_partkey") == F.col("l_partkey")).groupBy("p_type").agg(F.round(F.sum("quantity"), 3).alias("quantity"))
 
 
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a tenth of a unit saved by tiles, and those of a box loaded."""
+    p = points(spark, sf_dir)
+    cells = p.groupBy(F.floor(F.col("x") * 10).alias("col"), F.floor(F.col("y") * -10).alias("row")).agg(F.round(F.max("z"), 3).alias("z"))
+    path = new_path(spark, "grid")
+    store.save_grid(cells, path, "EPSG:32636", 0.0, 0.0, 0.1, "points")
+    back, _ = store.load_grid(spark, path, "EPSG:32636", (-0.55, -0.75, 0.95, 1.05))
+    return back.select("row", "col", F.round("z", 3).alias("z"))
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "snapshot")
+    store.save_snapshot(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"), F.col("p_brand").alias("sector"), "p_size"), path, "2024")
+    return store.load_snapshot(spark, path, "2024").groupBy("sector").agg(F.count("*").alias("objects"), F.sum("p_size").cast("long").alias("floors"))
+
+
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One interval of a panel stored by interval."""
     path = new_path(spark, "panel")
@@ -125,9 +142,22 @@ def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
 WAVES = """s as (select user_id as object_id, cast(least(floor((day(ts) - 1) / 10.0), 2) as int) as wave, arg_max(event_type, (ts, event_id)) as raw from events group by 1, 2),
  w as (select object_id, wave, case raw when 'view' then 'planned' when 'click' then 'active' when 'purchase' then 'complete' when 'error' then 'stalled' else 'unknown' end as state from s),
  pan as (select a.state as c, b.state as t, a.wave as s, b.wave as e, b.wave - a.wave as years from w a join w b on a.object_id = b.object_id and b.wave > a.wave)"""
+def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees fitted on the first interval of the panel tell the states after the second: by state, how many objects, how many
+    told rightly, and the mean chance given to it."""
+    past, future = _intervals(spark, sf_dir)
+    place = lambda c: F.array_position(F.array(*map(F.lit, panel.LABELS)), F.col(c)) - 1
+    shaped = lambda df: df.select(F.col("object_id").alias("id"), F.array(place("current_state").cast("double"), F.col("events").cast("double"), "mean_value").alias("x"), place("target_state").cast("int").alias("y"), "target_state")
+    model = boosting.fit(shaped(past), 3, len(panel.LABELS), rounds=3, depth=2, rate=0.3, least=5)
+    out = boosting.predicted(shaped(future), model)
+    told = F.array_position("p", F.array_max("p")) - 1
+    out = out.groupBy("target_state").agg(F.count("*").alias("n"), F.count_if(told == F.col("y")).alias("right"), F.avg(F.get("p", F.col("y"))).alias("chance"))
+    return out.withColumn("chance", F.round("chance", 6))
+
+
 QUERIES = {
-    "forecast_learned_benchmark": benchmark, "forecast_refitted": refit, "scored_by_model": scores, "cross_validated_models": folds, "line_units": units, "box_tiles_udtf": tiles,
-    "trimmed_means": trimmed, "lines_simplified": simplified, "store_csv": csv, "store_model": model, "store_intervals": intervals, "store_class_sample": sample, "export_geojson": geojson,
+    "forecast_learned_benchmark": benchmark, "forecast_boosted_states": boosted, "forecast_refitted": refit, "scored_by_model": scores, "cross_validated_models": folds, "line_units": units, "box_tiles_udtf": tiles,
+    "trimmed_means": trimmed, "lines_simplified": simplified, "store_csv": csv, "store_model": model, "store_grid": grid, "store_snapshot": snapshot, "store_intervals": intervals, "store_class_sample": sample, "export_geojson": geojson,
 }
 ORACLES = {
     "forecast_refitted": f"""with {WAVES}, l(k) as (values {', '.join(f"('{x}')" for x in panel.LABELS)}), n as (select c, t, count(*) as n from pan where years = 1 group by 1, 2)
@@ -146,6 +176,8 @@ ORACLES = {
     "trimmed_means": """with r as (select l_partkey, l_quantity as v, row_number() over (partition by l_partkey order by l_quantity) as i, count(*) over (partition by l_partkey) as n from lineitem)
  select l_partkey, round(avg(v), 6) as mean from r where i > n // 10 and i <= n - n // 10 group by 1""",
     "store_csv": f"with {WAVES} select c as current_state, t as target_state, count(*) as n from pan group by 1, 2",
+    "store_grid": f"with {P} select cast(floor(y * -10) as int) as row, cast(floor(x * 10) as int) as col, round(max(z), 3) as z from p group by 1, 2 having row between -11 and 7 and col between -6 and 9",
+    "store_snapshot": "select p_brand as sector, count(*) as objects, cast(sum(p_size) as bigint) as floors from part group by 1",
     "store_model": "select p_type, round(sum(l_quantity), 3) as quantity from lineitem join part on p_partkey = l_partkey group by 1",
     "store_intervals": f"with {WAVES} select t as target_state, count(*) as n from pan where s = 1 and e = 2 group by 1",
     "store_class_sample": "select event_type as class, count(*) as n from events where event_id % 10 = 0 group by 1",

@@ -41,6 +41,55 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return reader.option("nullValue", "\\N").option("emptyValue", "").csv(path)
 
 
+#: Cells of a side of a stored tile of a grid.
+TILE = 256
+
+
+def save_grid(cells: DataFrame, path: str, crs: str, x0: float, y0: float, cell: float, source: str) -> None:
+    """A grid (row, col, z) in single precision by tiles, and where it lies: x0, y0 the outer corner of its first cell. Cells
+    without a finite height are left out."""
+    z = F.col("z").cast("float")
+    good = cells.where("z is not null and not isnan(z) and abs(z) < double('inf')")
+    tile = [F.floor(F.col(c) / TILE).cast("int").alias(f"tile_{c}") for c in ("row", "col")]
+    tiles = good.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), z.alias("z"), *tile)
+    tiles.write.mode("errorifexists").partitionBy("tile_row", "tile_col").parquet(f"{path}/cells")
+    row = [(crs, float(x0), float(y0), float(cell), source)]
+    place = cells.sparkSession.createDataFrame(row, "crs string, x0 double, y0 double, cell double, source string")
+    save_model({"place": place}, f"{path}/about", "grid/1")
+
+
+def load_grid(spark: SparkSession, path: str, crs: str | None = None, box: tuple[float, float, float, float] | None = None) -> tuple[DataFrame, dict]:
+    """(cells (row, col, z), where they lie) of a saved grid; with a box (west, south, east, north; rows count down from y0)
+    only the tiles that meet it are read. ValueError where the grid is in another reference system than asked for."""
+    place = load_model(spark, f"{path}/about", "grid/1")["place"].first().asDict()
+    if crs is not None and place["crs"] != crs:
+        raise ValueError(f"{path} is in {place['crs']}, not {crs}")
+    schema = "row int, col int, z float, tile_row int, tile_col int"
+    cells = spark.read.schema(schema).parquet(f"{path}/cells")
+    if box is not None:
+        west, south, east, north = box
+        size = place["cell"]
+        c0, c1 = (int((v - place["x0"]) // size) for v in (west, east))
+        r0, r1 = (int((place["y0"] - v) // size) for v in (north, south))
+        cells = cells.where(F.col("tile_row").between(r0 // TILE, r1 // TILE) & F.col("tile_col").between(c0 // TILE, c1 // TILE))
+        cells = cells.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1))
+    return cells.select("row", "col", F.col("z").cast("double").alias("z")), place
+
+
+def save_snapshot(objects: DataFrame, path: str, snapshot: str) -> None:
+    """Objects (object_id, ...) of one snapshot under its name."""
+    save_model({"objects": objects}, path, f"snapshot/{snapshot}")
+
+
+def load_snapshot(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
+    """The objects of a saved snapshot; ValueError where it is another one, or where an object is there twice or has no id."""
+    objects = load_model(spark, path, f"snapshot/{snapshot}")["objects"]
+    bad = objects.groupBy("object_id").agg(F.count("*").alias("n")).where("n > 1 or object_id is null")
+    if not bad.isEmpty():
+        raise ValueError(f"{path} holds objects that are not told apart by their id")
+    return objects
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """Rows as JSON lines, nulls written out."""
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)

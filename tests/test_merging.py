@@ -42,3 +42,24 @@ def test_merged_ground(spark):
     want = {(r, c) for r in range(-3, 9) for c in range(-3, 17) if not (0 <= r < 6 and 0 <= c < 14) and min(math.dist((r, c), k) for k in known) <= 2}
     assert rim == want
     assert m.merged_ground(frame({(0, 0): 1.0}).where("z > 5"), frame({(0, 0): 1.0}).where("z > 5"), 10.0).count() == 0
+
+
+def test_saved_grids_and_snapshots(spark, tmp_path):
+    from cityweave.sources import store
+
+    cells = spark.createDataFrame([(0, 0, 1.5), (300, 2, 2.5), (-1, 700, 3.5), (5, 5, None), (6, 6, float("nan"))], "row long, col long, z double")
+    store.save_grid(cells, f"{tmp_path}/g", "EPSG:1", 100.0, 50.0, 2.0, "test")
+    whole, place = store.load_grid(spark, f"{tmp_path}/g", "EPSG:1")
+    assert sorted(tuple(r) for r in whole.collect()) == [(-1, 700, 3.5), (0, 0, 1.5), (300, 2, 2.5)]
+    assert (place["x0"], place["y0"], place["cell"], place["source"]) == (100.0, 50.0, 2.0, "test")
+    part, _ = store.load_grid(spark, f"{tmp_path}/g", box=(100.0, 40.0, 110.0, 50.0))
+    assert [tuple(r) for r in part.collect()] == [(0, 0, 1.5)]
+    with pytest.raises(ValueError):
+        store.load_grid(spark, f"{tmp_path}/g", "EPSG:2")
+    store.save_snapshot(spark.createDataFrame([(1, "a"), (2, "b")], "object_id long, s string"), f"{tmp_path}/s", "x")
+    assert store.load_snapshot(spark, f"{tmp_path}/s", "x").count() == 2
+    with pytest.raises(ValueError):
+        store.load_snapshot(spark, f"{tmp_path}/s", "y")
+    store.save_snapshot(spark.createDataFrame([(1, "a"), (1, "b")], "object_id long, s string"), f"{tmp_path}/t", "x")
+    with pytest.raises(ValueError):
+        store.load_snapshot(spark, f"{tmp_path}/t", "x")

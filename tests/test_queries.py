@@ -21,7 +21,7 @@ def con():
 
 def plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else f"{x:.5f}" if x else "0.00000"
+        return "nan" if math.isnan(x) else f"{x:.7f}" if x else "0.0000000"  # queries round to six places at most, or to eight
     return str(x)
 
 

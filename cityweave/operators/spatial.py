@@ -75,10 +75,27 @@ def to_segments(points: DataFrame, segments: DataFrame, radius: float) -> DataFr
     return j.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("id", "segment", "dist", "along")
 
 
-def focal_max(cells: DataFrame, radius: int) -> DataFrame:
+def disc(radius: float) -> list[Column]:
+    """Offsets (i, j) of the cells whose centres are within so many cells."""
+    reach = range(-int(radius), int(radius) + 1)
+    return [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach if i * i + j * j <= radius * radius]
+
+
+def nearest_line(points: DataFrame, segments: DataFrame, start: float, rings: int = 12) -> DataFrame:
+    """(id, dist) of each point's nearest segment (id, x1, y1, x2, y2), as `nearest` finds points; null beyond the last radius."""
+    found, rest = None, points.select("id", "x", "y")
+    for k in range(rings):
+        hit = kept(to_segments(rest, segments, start * 2**k).select("id", "dist"))
+        found = hit if found is None else found.unionAll(hit)
+        rest = kept(rest.join(hit, "id", "left_anti"))
+        if rest.isEmpty():
+            break
+    return found.unionAll(rest.select("id", F.lit(None).cast("double").alias("dist")))
+
+
+def focal_max(cells: DataFrame, radius: float) -> DataFrame:
     """(row, col, z): the largest z within a disc of so many cells."""
-    disc = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    spread = cells.select("row", "col", "z", F.explode(F.array(*disc)).alias("d"))
+    spread = cells.select("row", "col", "z", F.explode(F.array(*disc(radius))).alias("d"))
     near = spread.groupBy((F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col")).agg(F.max("z").alias("z"))
     return cells.select("row", "col").join(near, ["row", "col"])
 

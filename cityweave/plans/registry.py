@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this folder that hold QUERIES and ORACLES.
-MODULES = ("speeds", "panel", "audit", "spatial", "ledger", "network", "forecast", "more", "basics", "layers", "roads", "people", "grids", "scenarios", "joins", "elements", "lines", "learned", "views", "placing")
+MODULES = ("speeds", "panel", "audit", "spatial", "ledger", "network", "forecast", "more", "basics", "layers", "roads", "people", "grids", "scenarios", "joins", "elements", "lines", "learned", "views", "placing", "canopy")
 
 
 @cache

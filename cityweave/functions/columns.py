@@ -105,6 +105,21 @@ def utm_to_lonlat(x: Column, y: Column, zone: int, north: bool = True) -> tuple[
     return lon, F.degrees(lat)
 
 
+def lonlat_to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
+    """UTM coordinates of longitude and latitude on the WGS 84 ellipsoid, by the Krüger series to third order."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    q = 2 * math.sqrt(n) / (1 + n)
+    s, away = F.sin(F.radians(lat)), F.radians(lon - (6 * zone - 183.0))
+    t = F.sinh(F.atanh(s) - q * F.atanh(q * s))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    east = eta + sum((v * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, v in enumerate(alpha)), F.lit(0.0))
+    up = xi + sum((v * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, v in enumerate(alpha)), F.lit(0.0))
+    return 0.9996 * radius * east + 500000.0, 0.9996 * radius * up + (0.0 if north else 1e7)
+
+
 def softmax_at(p: Column, temperature: Column) -> Column:
     """Probabilities sharpened or flattened by a temperature, and brought to sum one again."""
     raised = F.transform(p, lambda v: F.pow(F.greatest(v, F.lit(1e-12)), 1 / temperature))

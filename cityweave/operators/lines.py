@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityweave.functions.columns import inside_ring
+from cityweave.functions.columns import inside_ring, ring_area
 from cityweave.operators.iterate import kept
-from cityweave.operators.spatial import nearest, points_in_polygons, within
+from cityweave.operators.polygons import overlaps
+from cityweave.operators.spatial import nearest, points_in_polygons, runs, within
 
 
 def share_inside(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column) -> Column:
@@ -70,6 +71,19 @@ def coverage(segments: DataFrame, lengths: DataFrame, exported: DataFrame) -> Da
     )
 
 
+def terrain_coverage(cells: DataFrame, size: float, districts: DataFrame, reach: float) -> DataFrame:
+    """(id, area, terrain, share) of districts (id, ring): how much of each lies on cells (row, col) of a terrain grid.
+
+    Neighbouring cells of a row are one rectangle of at most 64, so no rectangle reaches over more than a few districts."""
+    one = runs(cells.select("row", F.floor(F.col("col") / 64).alias("_part"), "col").distinct().select(F.struct("row", "_part").alias("row"), "col"))
+    edge = {"x0": F.col("first") * size, "x1": (F.col("last") + 1) * size, "y0": F.col("row.row") * size, "y1": (F.col("row.row") + 1) * size}
+    at = lambda x, y: F.struct(edge[x].alias("x"), edge[y].alias("y"))
+    boxes = one.select(F.struct("row.row", "first").alias("id"), F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1")).alias("ring"))
+    held = overlaps(districts, boxes, reach).groupBy(F.col("a").alias("id")).agg(F.sum("area").alias("terrain"))
+    out = districts.select("id", ring_area(F.col("ring")).alias("area")).join(held, "id", "left").withColumn("terrain", F.coalesce("terrain", F.lit(0.0)))
+    return out.withColumn("share", F.col("terrain") / F.nullif("area", F.lit(0.0)))
+
+
 def snapped_signals(signals: DataFrame, junctions: DataFrame, reach: float) -> DataFrame:
     """(signal, junction): a signal (id, x, y) at the junction of its own id, else at the nearest within reach; others go."""
     own = signals.join(junctions.select("id"), "id", "left_semi").select(F.col("id").alias("signal"), F.col("id").alias("junction"))

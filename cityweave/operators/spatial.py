@@ -114,6 +114,30 @@ def cell_summary(points: DataFrame, size: float) -> DataFrame:
     )
 
 
+def surface_cells(points: DataFrame, size: float, west: float, north: float, rows: int, cols: int, ground: int = 2) -> DataFrame:
+    """(row, col, n, z_min, z_max, ground) of points (x, y, z, class) on a grid that starts at its north-west corner: count,
+    least and largest height and the number of points labelled as ground. Points that are not finite or outside the declared
+    grid end the job with an error, since a surface without them would look whole."""
+    row, col = F.floor((north - F.col("y")) / size), F.floor((F.col("x") - west) / size)
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    good = finite("x") & finite("y") & finite("z") & row.between(0, rows - 1) & col.between(0, cols - 1)
+    bad = F.raise_error(F.lit("a point is not finite or outside the declared bounds")).cast("double")
+    p = points.select(row.alias("row"), col.alias("col"), F.when(F.coalesce(good, F.lit(False)), F.col("z")).otherwise(bad).alias("z"), "class")
+    return p.groupBy("row", "col").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.count_if(F.col("class") == ground).alias("ground"))
+
+
+def surface_coverage(cells: DataFrame, rows: int, cols: int) -> DataFrame:
+    """One row: points, cells with any, their share of the grid, ground points and the cells that hold some."""
+    share = F.count("*") / float(rows * cols)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return cells.agg(total("n").alias("points"), F.count("*").alias("cells"), share.alias("share"), total("ground").alias("ground"), F.count_if(F.col("ground") > 0).alias("ground_cells"))
+
+
+def class_counts(points: DataFrame) -> DataFrame:
+    """(class, n) of the classes that occur."""
+    return points.groupBy("class").agg(F.count("*").alias("n"))
+
+
 def seam_steps(cells: DataFrame) -> DataFrame:
     """(row, col, step): height difference to the next cell of the row, where that is adjacent."""
     w = Window.partitionBy("row").orderBy("col")

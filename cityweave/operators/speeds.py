@@ -114,6 +114,16 @@ def error_metrics(scored: DataFrame, by: list[str], tolerance: float = 0.25) ->
     )
 
 
+def readings_in_band(readings: DataFrame, scored: DataFrame) -> DataFrame:
+    """(baseline, readings, inside, share): held-out readings of the cells that a baseline scores, and those between its p10
+    and p90. Readings are counted by cell and speed first, so each goes to the baselines once however often it occurs."""
+    cell = ["road", "weekend", "hour"]
+    seen = readings.where("split = 'holdout'").groupBy(*cell, "speed").agg(F.count("*").alias("m"))
+    j = seen.join(scored.where("pred is not null").select(*cell, "baseline", "p10", "p90"), cell)
+    inside = F.when(F.col("speed").between(F.col("p10"), F.col("p90")), F.col("m")).otherwise(0)
+    return j.groupBy("baseline").agg(F.sum("m").alias("readings"), F.sum(inside).alias("inside")).withColumn("share", F.col("inside") / F.col("readings"))
+
+
 def common_cells(scored: DataFrame) -> DataFrame:
     """Cells that every baseline scores."""
     whole = scored.groupBy("road", "weekend", "hour").agg(F.min(F.col("pred").isNotNull()).alias("all")).where("all")

@@ -36,6 +36,14 @@ def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select((F.col("cx") * 1000 + F.col("cy")).alias("id"), square(F.col("cx") + 0.5, F.col("cy") + 0.5, 0.5).alias("ring"))
 
 
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares around every tenth point over the cells of 0.25 that points fall in."""
+    p = points(spark, sf_dir)
+    cells = p.select(F.floor(F.col("y") * 4).alias("row"), F.floor(F.col("x") * 4).alias("col")).distinct()
+    out = op.terrain_coverage(cells, 0.25, p.where("id % 10 = 0").select("id", square(F.col("x"), F.col("y"), 0.6).alias("ring")), 0.5)
+    return out.select("id", *(F.round(c, 6).alias(c) for c in ("area", "terrain", "share")))
+
+
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.lengths_inside(segments(spark, sf_dir), districts(spark, sf_dir), 1.0)
 
@@ -193,13 +201,16 @@ W = f"""m as (select o_custkey as route, o_orderkey as seq, o_orderkey % 150 as
 _B = f"""{S}, c as (select id, greatest(0.0, {BOX[0]}::double - x, ({BOX[1]}::double - y) / 0.5::double) as a, least(1.0, {BOX[2]}::double - x, ({BOX[3]}::double - y) / 0.5::double) as b from s),
  n as (select id, row_number() over (order by id) - 1 as index from c where a <= b)"""
 QUERIES = {
-    "lines_inside": inside, "lines_districts": crossed, "lines_coverage": coverage, "signals_snapped": signals, "walks_parallel": parallel, "ground_labelled": ground,
+    "lines_inside": inside, "lines_districts": crossed, "lines_coverage": coverage, "terrain_coverage": terrain, "signals_snapped": signals, "walks_parallel": parallel, "ground_labelled": ground,
     "canopy_screened": canopy, "roads_annotated": annotated, "elevations_transferred": elevations, "alignment_issues": alignment, "canopy_cover": cover, "area_date_shares": dates,
     "routes_in_box": routes, "routes_hit": hit, "network_box_roads": boxed_roads, "network_box_bans": boxed_bans, "street_features": street, "trees_of_rows": row_trees, "kerb_slots": kerbs,
 }
 ORACLES = {
     "lines_inside": f"with {LL} select id, polygon, round(length, 5) as length from ll",
     "lines_districts": f"with {LL} select id, string_agg(polygon::varchar, ',' order by polygon) as polygons, arg_max(polygon, (length, -polygon)) as owner from ll group by id",
+    "terrain_coverage": f"""with {P}, c as (select distinct floor(y * 4) / 4 as v, floor(x * 4) / 4 as u from p), d as (select * from p where id % 10 = 0),
+ h as (select d.id, sum((least(d.x + 0.6, u + 0.25) - greatest(d.x - 0.6, u)) * (least(d.y + 0.6, v + 0.25) - greatest(d.y - 0.6, v))) as t from d join c on u < d.x + 0.6 and u + 0.25 > d.x - 0.6 and v < d.y + 0.6 and v + 0.25 > d.y - 0.6 group by 1)
+ select id, 1.44::double as area, round(coalesce(t, 0), 6) as terrain, round(coalesce(t, 0) / 1.44, 6) as share from d left join h using (id)""",
     "lines_coverage": f"""with {L}, i as (select id, sum(greatest(length, 0)) as inside from l group by 1), r as (select s.id, coalesce(inside, 0) as inside, s.id % 4 = 1 as out from s left join i on i.id = s.id)
  select count(*) as lines, count(*) filter (where out) as exported_lines, round(count(*) * sqrt(1.25), 4) as length, round(count(*) filter (where out) * sqrt(1.25), 4) as exported_length,
  round(sum(inside), 4) as inside, round(sum(inside) filter (where out), 4) as exported_inside, round(sum(inside) filter (where out) / sum(inside), 4) as exported_share from r""",

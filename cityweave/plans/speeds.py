@@ -18,6 +18,11 @@ def holdout_scores(spark: SparkSession, sf_dir: str, roads: int = 20, min_count:
     return op.error_metrics(op.predictions(readings(spark, sf_dir, roads), min_count), ["baseline"])
 
 
+def band_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readings(spark, sf_dir)
+    return op.readings_in_band(r, op.predictions(r, 5)).withColumn("share", F.round("share", 6))
+
+
 def common_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.error_metrics(op.common_cells(op.predictions(readings(spark, sf_dir), 5)), ["baseline"])
 
@@ -83,12 +88,13 @@ METRICS = """select baseline, count(*) as cells, count(pred) as supported, round
  round(avg(case when pred is not null then cast(observed between p10 and p90 as int) end), 6) as band_share,
  round(avg(case when pred is not null then cast(abs(pred - observed) <= 0.25 * observed as int) end), 6) as tolerance_share"""
 QUERIES = {
-    "speed_holdout_scores": holdout_scores, "speed_common_cell_scores": common_scores, "speed_baseline_fit": fitted,
+    "speed_holdout_scores": holdout_scores, "speed_common_cell_scores": common_scores, "speed_baseline_fit": fitted, "speed_readings_in_band": band_readings,
     "speed_hourly_profile": profile, "speed_audit": audit, "speed_rejections": rejections, "speed_histogram": histogram,
 }
 ORACLES = {
     "speed_holdout_scores": f"with {_scored()} {METRICS} from s group by baseline",
     "speed_common_cell_scores": f"with {_scored()}, t as (select *, min(cast(pred is not null as int)) over (partition by road, weekend, hour) as whole from s) {METRICS} from t where whole = 1 group by baseline",
+    "speed_readings_in_band": f"with {_scored()} select baseline, count(*) as readings, count(*) filter (where speed between p10 and p90) as inside, round(count(*) filter (where speed between p10 and p90) / count(*)::double, 6) as share from s join r using (road, weekend, hour) where split = 'holdout' and pred is not null group by 1",
     "speed_baseline_fit": f"with {READINGS} select road, weekend, hour, count(*) as n, round(quantile_cont(speed, 0.1), 6) as p10, round(quantile_cont(speed, 0.5), 6) as median, round(quantile_cont(speed, 0.9), 6) as p90 from r where split = 'calibration' group by road, weekend, hour",
     "speed_hourly_profile": f"""with {READINGS},
  roads as (select road, cls, quantile_cont(speed, 0.5) as overall from r group by all),

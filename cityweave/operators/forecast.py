@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityweave.functions.columns import pick, unit_hash
+from cityweave.operators.iterate import kept
 
 
 def kpis(objects: DataFrame, by: list[str], built: tuple[str, ...] = ("complete",)) -> DataFrame:
@@ -104,18 +107,70 @@ def bands(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return values.groupBy(*by).agg(*(F.percentile(value, q).alias(n) for q, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))))
 
 
-def pareto(plans: DataFrame, key: str, goals: list[str]) -> DataFrame:
-    """Plans that no other plan equals or betters in every goal (smaller is better) and betters in one."""
-    other = plans.select(F.col(key).alias("_k"), *(F.col(g).alias(f"_{g}") for g in goals))
-    no_worse = [F.col(f"_{g}") <= F.col(g) for g in goals]
-    better = [F.col(f"_{g}") < F.col(g) for g in goals]
-    test = no_worse[0]
-    for c in no_worse[1:]:
-        test &= c
-    some = better[0]
-    for c in better[1:]:
-        some |= c
-    return plans.join(other, test & some, "left_anti")
+#: Goal vectors that one task compares among themselves.
+FRONT_AT_ONCE = 20_000
+
+
+def _undominated(v: np.ndarray) -> np.ndarray:
+    """The rows of v that no other row equals or betters throughout and betters once; a better row has a smaller sum."""
+    v = v[np.argsort(v.sum(axis=1), kind="stable")]
+    front = v[:0]
+    for start in range(0, len(v), 256):
+        some = v[start : start + 256]
+        for other in (front, some):
+            some = some[~((other[None] <= some[:, None]).all(axis=2) & (other[None] < some[:, None]).any(axis=2)).any(axis=1)]
+        front = np.concatenate([front, some])
+    return front
+
+
+def _local_fronts(vectors: DataFrame, at_once: int) -> DataFrame:
+    """vectors without those that another of their partition beats, met in runs of about `at_once`."""
+    names = vectors.columns
+
+    def fronts(batches):
+        front = np.empty((0, len(names)))
+        for batch in batches:
+            front = _undominated(np.concatenate([front, batch[names].to_numpy(dtype=float)]))
+            if len(front) > at_once:
+                yield pd.DataFrame(front, columns=names)
+                front = front[:0]
+        yield pd.DataFrame(front, columns=names)
+
+    return vectors.mapInPandas(fronts, vectors.schema)
+
+
+def pareto(plans: DataFrame, key: str, goals: list[str], at_once: int = FRONT_AT_ONCE) -> DataFrame:
+    """Plans that no other plan equals or betters in every goal (smaller is better) and betters in one; plans with a null goal
+    compare with none and stay.
+
+    Only what nothing in its own partition beats goes on. If that fits one task it is compared there. Otherwise it is cut into
+    blocks along the first goal, and a vector meets the blocks alone whose least goals do not rule them out."""
+    known = F.lit(True)
+    for g in goals:
+        known &= F.col(g).isNotNull()
+    names = [f"_g{i}" for i in range(len(goals))]
+    vectors = plans.where(known).select(*(F.col(g).cast("double").alias(n) for g, n in zip(goals, names))).distinct()
+    left = kept(_local_fronts(vectors, at_once))
+    n = left.count()
+    if n <= at_once:
+        front = _local_fronts(left.coalesce(1), at_once)
+    else:
+        left = kept(left.repartitionByRange(-(-n // at_once), names[0]).withColumn("_b", F.spark_partition_id()))
+        ends = left.groupBy("_b").agg(*(F.min(g).alias(f"_m{g}") for g in names))  # a row for each block
+        may = F.lit(True)
+        for g in names:
+            may &= F.col(f"_m{g}") <= F.col(g)
+        sent = left.drop("_b").join(F.broadcast(ends), may).select(*names, "_b")
+        other = left.select("_b", *(F.col(g).alias(f"_o{g}") for g in names))
+        no_worse, better = F.lit(True), F.lit(False)
+        for g in names:
+            no_worse &= F.col(f"_o{g}") <= F.col(g)
+            better |= F.col(f"_o{g}") < F.col(g)
+        beaten = sent.alias("s").join(other.alias("o"), (F.col("s._b") == F.col("o._b")) & no_worse & better, "left_semi")
+        front = left.drop("_b").join(beaten.select(*names).distinct(), names, "left_anti")
+    front = front.toDF(*names)
+    same = [F.col(g).cast("double") == F.col(n) for g, n in zip(goals, names)]
+    return plans.where(known).join(front, same, "left_semi").unionByName(plans.where(~known))
 
 
 def backcast(plans: DataFrame, size: int = 5) -> DataFrame:

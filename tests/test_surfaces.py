@@ -1,12 +1,13 @@
 """Surface reviews, readings in a band, terrain in districts and the UTM series at their edges."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cityweave.functions import columns as fn
-from cityweave.operators import lines, spatial, speeds
+from cityweave.operators import forecast, lines, people, spatial, speeds
 
 POINTS = "x double, y double, z double, class int"
 
@@ -52,3 +53,25 @@ def test_utm_both_ways(spark):
             assert abs(r.u - r.lon) < 1e-8 and abs(r.v - r.lat) < 1e-8
     one = df.where("lon = 15 and lat = 0").select(*fn.lonlat_to_utm(F.col("lon"), F.col("lat"), 33)).first()
     assert abs(one[0] - 500000) < 1e-6 and abs(one[1]) < 1e-6
+
+
+@pytest.mark.parametrize("at_once", [20_000, 40])
+def test_front_equals_all_pairs(spark, at_once):
+    rng = random.Random(4)
+    v = [[rng.randrange(60), rng.randrange(60), rng.randrange(60)] for _ in range(900)]
+    v += [[i, 60 - i, 5] for i in range(60)] * 2 + [[None, 0, 0], [3, None, None]]
+    plans = [(i, *map(lambda x: None if x is None else float(x), p)) for i, p in enumerate(v)]
+    beats = lambda q, p: None not in q + p and all(a <= b for a, b in zip(q, p)) and q != p
+    want = {i for i, p in enumerate(v) if not any(beats(q, p) for q in v)}
+    df = spark.createDataFrame(plans, "id long, a double, b double, c double").repartition(5)
+    got = [r.id for r in forecast.pareto(df, "id", ["a", "b", "c"], at_once).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert forecast.pareto(df.limit(0), "id", ["a", "b", "c"]).count() == 0
+
+
+def test_places_of_no_road(spark):
+    places = spark.createDataFrame([(1, "cafe", "A", 0.9)], "id long, category string, name string, confidence double")
+    none = spark.createDataFrame([], "road long, place long")
+    assert tuple(people.place_summary(none, places).first()) == (0, 0, [], 0, [])
+    twice = spark.createDataFrame([(1, 1), (2, 1)], "road long, place long")
+    assert tuple(people.place_summary(twice, places).first()) == (1, 0, ["cafe:1"], 0, ["A"])

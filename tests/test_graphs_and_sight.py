@@ -74,6 +74,24 @@ def test_refreshed_trees_equal_new_ones(spark):
         assert got[x.origin, x.prev] + new[x.prev, x.node] == x.dist
 
 
+def test_shortest_from_all_nodes(spark):
+    """Origins that an edge enters, that none enters, and that have no edges at all; edges without a cost."""
+    edges = graph(5) | {(50 + i, i): 1.0 + i for i in range(4)} | {(50, 3): 0.5, (60, 50): 2.0}
+    e = frame(spark, edges | {(61, 0): None})
+    every = sorted({u for u, _ in edges} | {61, 70})
+    got = network.shortest_from_all(e, spark.createDataFrame([(o,) for o in [*every, 70]], "origin long")).collect()
+    want = {(o, v): d for o in every for v, d in dijkstra(edges, o).items()}
+    assert len(got) == len(want) and {(x.origin, x.node): x.dist for x in got} == want
+
+
+def test_shortest_times_start_from_every_node(spark):
+    from cityweave.plans import network as plans
+
+    at = "/root/testdata/sf0.001"
+    nodes = {r[0] for r in plans.edges(spark, at).select("src").distinct().collect()} | {r[0] for r in plans.origins(spark, at).collect()}
+    assert {r[0] for r in plans.times(spark, at).select("origin").distinct().collect()} == nodes
+
+
 def bpr(v, c):
     return 1 + 0.15 * (v / c) ** 4
 

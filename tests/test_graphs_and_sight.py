@@ -92,6 +92,18 @@ def test_shortest_times_start_from_every_node(spark):
     assert {r[0] for r in plans.times(spark, at).select("origin").distinct().collect()} == nodes
 
 
+def test_exits_with_every_turn_of_a_remainder_banned(spark):
+    rng = random.Random(6)
+    roads = {n: (rng.randrange(8), rng.randrange(9)) for n in rng.sample(range(-40, 200), 90)}
+    frame_ = spark.createDataFrame([(n, u, v) for n, (u, v) in roads.items()], "road long, u long, v long")
+    want = {}
+    for a, (_, v) in roads.items():
+        if to := [b for b, (u, _) in roads.items() if u == v and (a + b) % 3]:
+            want[a] = (len(to), min(to))
+    got = network.exits_modulo(frame_, 3).collect()
+    assert len(got) == len(want) and {r.from_road: (r.exits, r.first_exit) for r in got} == want
+
+
 def bpr(v, c):
     return 1 + 0.15 * (v / c) ** 4
 

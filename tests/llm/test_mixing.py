@@ -122,3 +122,31 @@ def test_more_sources_than_one_schedule_takes(spark):
         hot += taken[t][0] == "hot"
         assert abs(hot - (t + 1) * 40 / total) < 3
     assert mixing.mixed_order(docs(spark, sizes), weights=weights).count() == sum(sizes.values())
+
+
+@pytest.mark.parametrize(("limit", "leaf", "stretch"), [(10, 4, 7), (10, 64, 50_000), (20_000, 64, 50_000)])
+def test_one_schedule_at_every_size(spark, monkeypatch, limit, leaf, stretch):
+    """Folded or dealt, in short stretches or long ones, every slot is that of brute force."""
+    monkeypatch.setattr(mixing, "MAX_PERIOD", limit)
+    monkeypatch.setattr(mixing, "LEAF", leaf)
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    rng = random.Random(9)
+    blocks = [rng.randrange(1, 30) for _ in range(25)] + [3] * 5
+    weights = [rng.randrange(1, 9) for _ in range(25)] + [2] * 5
+    got = sorted((r._slot, r._src, r._block) for r in mixing.slots_of(spark, blocks, weights).collect())
+    assert [s for s, _, _ in got] == list(range(sum(blocks)))
+    assert [src for _, src, _ in got] == earliest_deadline_first(blocks, weights)
+    for i, n in enumerate(blocks):
+        assert [b for _, src, b in got if src == i] == list(range(n))
+
+
+def test_more_sources_than_a_fold_takes_against_brute_force(spark):
+    blocks, weights = [2 + i % 3 for i in range(520)] + [90], [1 + i % 2 for i in range(520)] + [40]
+    got = sorted((r._slot, r._src) for r in mixing.slots_of(spark, blocks, weights).collect())
+    assert [src for _, src in got] == earliest_deadline_first(blocks, weights)
+
+
+def test_order_within_a_source_does_not_depend_on_buckets(spark):
+    d = docs(spark, {"a": 300, "b": 50})
+    place = lambda rows: {r.doc_id: (r._slot, r._in_block) for r in mixing.mixed(d, bucket_rows=rows)[0].collect()}
+    assert place(10) == place(1000)

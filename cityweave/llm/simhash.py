@@ -412,6 +412,26 @@ def similar_groups(
     return least.join(firsts, "component").select(F.col(key).alias(name), "component_id")
 
 
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """key (each once, not null, of one text) and component_id: documents joined by near_duplicates(), or by similar_groups()
+    where 64 bits tell too little: near copies that differ in more than a few words. The smallest keys of the groups stand
+    for them; where a document's two groups have different ones, these are joined."""
+    prints = near_duplicates(docs, radius=radius, key=key, text=text).select(F.col(key).alias("key"), F.col("component_id").alias("a"))
+    sets = similar_groups(docs, similarity=similarity, key=key, text=text).select(F.col(key).alias("key"), F.col("component_id").alias("b"))
+    both = staged(prints.distinct().join(sets.distinct(), "key"), "two-groups")
+    release(docs.sparkSession)
+    ends = both.where("a <> b").select("a", "b").distinct()
+    names = ends.select("a").union(ends.select("b")).distinct().select(F.col("a").alias("name"), F.monotonically_increasing_id().alias("node"))
+    names = staged(names, "group-names")
+    edges = ends.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    found = components(edges.select("x", "y"), "x", "y").join(names, "node")
+    least = found.groupBy("component").agg(F.min("name").alias("component_id"))
+    renamed = staged(found.join(least, "component").select(F.col("name").alias("a"), "component_id"), "joined-groups")
+    dropped(docs.sparkSession, names)
+    out = both.join(broadcast_if_small(renamed), "a", "left")
+    return out.select(F.col("key").alias(key), F.coalesce("component_id", "a").alias("component_id"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(

@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 from tokenizers import Tokenizer
 
-from cityweave.llm import bpe
+from cityweave.llm import bpe, simhash
 
 AT = "/root/testdata/sf0.01"
 
@@ -94,6 +94,28 @@ def test_near_copies_go_by_row_not_by_id(spark, odd):
     assert got in [sorted(f"x{n}" for n in (0, 2, c, 9, 10, 11, 12, 13)) for c in (5, 6)]
 
 
+def test_near_copies_by_fingerprint_and_by_sets(spark):
+    """Texts of equal rhythm with tails of their own are near by operator 8's fingerprint alone, one with some new words by its
+    shingle set alone; one text that is near two others joins them."""
+    tail = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    beat = "red green blue " * 400
+    words = (beat + tail("a", 30)).split()
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (beat + tail("a", 30), beat + tail("b", 30))]
+    assert len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1])
+    plain = tail("p", 200).split()
+    edited = plain.copy()
+    for i in (20, 90, 150):
+        edited[i] = "new"
+    prints = [simhash.fingerprint(t, 3) for t in (" ".join(words), beat + tail("b", 30), " ".join(plain), " ".join(edited))]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[2] ^ prints[3]).bit_count()
+    # the shingles of the first, but not as often, so that its bits are others
+    once = "red green blue " * 3 + tail("a", 30)
+    assert (simhash.fingerprint(once, 3) ^ prints[0]).bit_count() > 3
+    texts = [beat + tail("b", 30), " ".join(words), once, " ".join(plain), " ".join(edited), tail("q", 50)]
+    docs = spark.createDataFrame([(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 4, 6]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_of_an_empty_table(spark, odd, name):
     docs, at = odd

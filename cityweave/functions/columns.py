@@ -150,6 +150,17 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.size(F.filter(crosses, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
 
 
+def on_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies on an edge of a ring of structs x, y."""
+    nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+    def on(p: Column, q: Column) -> Column:
+        turn = (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
+        return (turn == 0) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    return F.exists(F.zip_with(ring, nxt, on), lambda c: c)
+
+
 #: Phrases that ask for a whole city, in three languages.
 CITYWIDE = (
     r"city[- ]?wide|across (the )?(city|beirut)|all (of )?beirut|(the )?whole (city|of beirut)|throughout (the city|beirut)|everywhere|all buildings|every building|"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityweave.functions.columns import inside_ring
+from cityweave.functions.columns import inside_ring, on_ring
 from cityweave.operators.iterate import kept
 
 
@@ -46,15 +46,16 @@ def nearest(left: DataFrame, right: DataFrame, start: float, rings: int = 12) ->
     return found.unionAll(none)
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, strict: bool = False) -> DataFrame:
     """(id, polygon) for points (id, x, y) inside polygons (id, ring array<struct<x,y>>); a polygon is copied to the
-    cells of its bounding box."""
+    cells of its bounding box. A point on an edge is inside one of two polygons that share it, or with strict inside none."""
     lo = lambda k: F.array_min(F.transform("ring", lambda p: p[k]))
     hi = lambda k: F.array_max(F.transform("ring", lambda p: p[k]))
     span = lambda k: F.explode(F.sequence(_cell(lo(k), size), _cell(hi(k), size)))
     cells = polygons.select(F.col("id").alias("polygon"), "ring", span("x").alias("_cx")).select("polygon", "ring", "_cx", span("y").alias("_cy"))
     p = points.select("id", "x", "y", _cell(F.col("x"), size).alias("_cx"), _cell(F.col("y"), size).alias("_cy"))
-    return p.join(cells, ["_cx", "_cy"]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "polygon")
+    at = F.col("x"), F.col("y"), F.col("ring")
+    return p.join(cells, ["_cx", "_cy"]).where(inside_ring(*at) & ~on_ring(*at) if strict else inside_ring(*at)).select("id", "polygon")
 
 
 def to_segments(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:

@@ -82,3 +82,11 @@ def test_more_room_leaves_fewer_crowns(spark):
     rows = canopy.count_by_spacing(grid, 1.0, area, 3.0, [2.0, 4.0, 6.0], 5.0).collect()
     z = {(r.row, r.col): r.z for r in grid.collect()}
     assert {r.spacing: r.crowns for r in rows} == {s: sum(r < 10 and c < 10 for r, c in crowns_by_hand(z, 3.0, s)) for s in (2.0, 4.0, 6.0)}
+
+
+def test_a_crown_on_the_edge_of_the_area_is_not_inside(spark):
+    z = {(r, c): 9.0 if (r, c) in ((0, 0), (0, 4), (4, 0), (4, 4), (2, 2)) else 1.0 for r in range(5) for c in range(5)}
+    grid = spark.createDataFrame([(*p, v) for p, v in z.items()], CELLS)
+    corner = lambda x, y: {"x": x, "y": y}
+    area = spark.createDataFrame([(1, [corner(0.5, 0.5), corner(4.5, 0.5), corner(4.5, 4.5), corner(0.5, 4.5)]), (2, [corner(-4.0, 5.0), corner(5.0, -4.0), corner(5.0, -5.0), corner(-4.0, -5.0)])], "id long, ring array<struct<x:double,y:double>>")
+    assert [r.id for r in canopy.tops_in_area(grid, 1.0, area, 3.0, 2.0, 2.0).collect()] == ["2:2"]

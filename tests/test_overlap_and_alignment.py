@@ -91,3 +91,29 @@ def test_pairing_and_fitting_in_turn(spark):
     x, y = fit.moved(F.col("x"), F.col("y"))
     back = np.array([[p.x, p.y] for p in spark.createDataFrame(box(moved), schema).orderBy("id").select(x.alias("x"), y.alias("y")).collect()])
     assert np.abs(back - xy).max() < 0.05
+
+
+def test_shares_of_lines_of_any_number_of_segments(spark):
+    rng = random.Random(21)
+    seg = lambda: (rng.uniform(0, 6), rng.uniform(0, 6))
+    rows = lambda n: [(i, s, *p, *(p[k] + rng.uniform(-3, 3) for k in (0, 1))) for i in range(n) for s in range(1 + i % 3) for p in [seg()]]
+    have = op.with_positions(spark.createDataFrame(rows(20), "id long, seq long, x1 double, y1 double, x2 double, y2 double"))
+    others = spark.createDataFrame([(i, *r) for i, _, *r in rows(20)], "other long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.id, r.other): r.share for r in op.along_shares(have, others, 0.5, 1.0).collect()}
+    assert len(got) == op.along_shares(have, others, 0.5, 1.0).count()
+    for key in [(0, 0), (3, 3), (1, 0), (0, 4), (2, 5), (6, 9), (12, 15), (5, 5)]:
+        line, lengths, near = [], 0.0, 0.0
+        for a in have.where(f"id = {key[0]}").collect():
+            lengths += a.length
+            for k in range(2000):
+                x, y = a.x1 + (k + 0.5) / 2000 * (a.x2 - a.x1), a.y1 + (k + 0.5) / 2000 * (a.y2 - a.y1)
+                line.append((x, y, a.length / 2000))
+        edges = others.where(f"other = {key[1]}").collect()
+        for x, y, w in line:
+            for b in edges:
+                dx, dy = b.x2 - b.x1, b.y2 - b.y1
+                t = min(1.0, max(0.0, ((x - b.x1) * dx + (y - b.y1) * dy) / (dx * dx + dy * dy)))
+                if math.hypot(x - b.x1 - t * dx, y - b.y1 - t * dy) <= 0.5:
+                    near += w
+                    break
+        assert abs(got.get(key, 0.0) - near / lengths) < 2e-3

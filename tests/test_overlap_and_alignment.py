@@ -117,3 +117,12 @@ def test_shares_of_lines_of_any_number_of_segments(spark):
                     near += w
                     break
         assert abs(got.get(key, 0.0) - near / lengths) < 2e-3
+
+
+def test_a_pair_of_many_common_cells_is_taken_once_without_a_distinct(spark):
+    have = op.with_positions(spark.createDataFrame([(1, 0, 0.1, 0.1, 9.7, 8.3), (2, 0, 8.0, 1.0, 1.0, 8.0)], LINE))
+    rings = spark.createDataFrame([(5, [(0.5, 0.4), (9.0, 0.4), (9.0, 8.9), (0.5, 8.9)])], "other long, ring array<struct<x:double,y:double>>")
+    other = spark.createDataFrame([(7, 0.3, 0.2, 9.0, 8.0)], EDGE)
+    for out in (op.inner_stretches(have, rings, 0.5), op.near_stretches(have, other, 1.0, 0.5)):
+        assert sorted(r.id for r in out.collect()) == [1, 2]
+        assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()

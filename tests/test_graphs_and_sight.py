@@ -183,3 +183,23 @@ def test_previous_value_across_spans(spark):
     for k, v in rows:
         want[k, v] = max((b for a, b in rows if a == k and b < v), default=None)
     assert got == want
+
+
+def test_rays_stop_at_the_same_walls_by_angle_as_by_trying_all():
+    import numpy as np
+
+    rng = random.Random(31)
+    eye = [(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(6)] + [(0.5, 0.0)]
+    rays = np.array([(*p, p[0] + rng.uniform(-1, 1), p[1] + rng.uniform(-1, 1)) for p in eye for _ in range(60)])
+    walls = [(x, y, x + rng.uniform(-0.4, 0.4), y + rng.uniform(-0.4, 0.4)) for x, y in ((rng.uniform(-2, 2), rng.uniform(-2, 2)) for _ in range(40))]
+    walls = np.array(walls + [(0.0, 0.0, 1.0, 0.0), (*eye[0], eye[0][0] + 0.1, eye[0][1]), (-3.0, -0.1, 3.0, 0.1), (0.2, 0.2, 0.2, 0.2)])
+    want = []
+    for ax, ay, bx, by in rays:
+        with np.errstate(all="ignore"):
+            rx, ry, ex, ey = bx - ax, by - ay, walls[:, 2] - walls[:, 0], walls[:, 3] - walls[:, 1]
+            turn = rx * ey - ry * ex
+            t, s = ((walls[:, 0] - ax) * ey - (walls[:, 1] - ay) * ex) / turn, ((walls[:, 0] - ax) * ry - (walls[:, 1] - ay) * rx) / turn
+            want.append(bool(((turn != 0) & (t >= 0) & (t <= 1) & (s >= 0) & (s <= 1)).any()))
+    got = sight.stopped(*rays.T, walls)
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    assert sight.stopped(*rays.T, walls[:0]).sum() == 0
